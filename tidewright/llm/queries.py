@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import components, leakage, spans, survivors, tokens
+from tidewright.llm import components, leakage, mojibake, spans, survivors, tokens
 from tidewright.queries import read
 from tidewright.session import Stage
 
@@ -21,6 +21,27 @@ def p3_found(spark, sf):
     return groups.toDF("src_pk", "group_pk")
 
 
+def _typed(spark, sf, columns):
+    """(cust_id, column_name, value) of the named columns of lookalikes, without null."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns])
+    rows = read(spark, sf, "lookalikes").select(F.col("CUST_ID").alias("cust_id"), F.inline(cells))
+    return rows.where("cust_id is not null and value is not null")
+
+
+def _damaged(spark, sf):
+    cells = _typed(spark, sf, ["CUST_NAME", "ADDR_STREET"])
+    return cells.join(mojibake.damaged_values(cells, "value", Stage(spark, "p5")), "value")
+
+
+def p5_found(spark, sf):
+    return _damaged(spark, sf).select("cust_id", "column_name", "outcome").distinct()
+
+
+def p5_restored(spark, sf):
+    """The damaged values with their original text, as far as it follows."""
+    return _damaged(spark, sf).select("cust_id", "column_name", "value", "restored", "outcome").distinct()
+
+
 def _run1(spark, sf):
     return read(spark, sf, "deduplicated").where("run_no = 1")
 
@@ -83,7 +104,7 @@ def p10_shared_amount(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(amount, "doc_id", "left").fillna(0, ["shared_chars"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
 
 _LACK = "(trim({c}, ' ') IS NULL OR lower(trim({c}, ' ')) IN ('', '-', 'n/a', 'none', 'unknown', 'tbd'))"
 _P7 = [
