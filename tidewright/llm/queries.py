@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import components, leakage, mojibake, spans, survivors, tokens
+from tidewright.llm import canon, components, leakage, mojibake, spans, survivors, tokens
 from tidewright.queries import read
 from tidewright.session import Stage
 
@@ -28,6 +28,30 @@ def _typed(spark, sf, columns):
     return rows.where("cust_id is not null and value is not null")
 
 
+def _mapped(spark, sf):
+    cells = _typed(spark, sf, ["COUNTRY", "PAYMENT_TERMS"])
+    values = cells.select(F.col("column_name").alias("domain"), "value")
+    mapped = canon.map_values(values, read(spark, sf, "ref_values"), Stage(spark, "p4")).withColumnRenamed("domain", "column_name")
+    return cells, mapped
+
+
+def p4_found(spark, sf):
+    cells, mapped = _mapped(spark, sf)
+    return cells.join(mapped, ["column_name", "value"]).select("cust_id", "column_name", "ref_code").distinct()
+
+
+def p4_unmatched(spark, sf):
+    """The values that stand for no entry, with the number of rows that have them."""
+    cells, mapped = _mapped(spark, sf)
+    counts = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(mapped.where(F.col("ref_code") == canon.UNMATCHED), ["column_name", "value"]).select("column_name", "value", "n", F.round("score", 4).alias("score"))
+
+
+def p4_values(spark, sf):
+    """Every different value with its code and score."""
+    return _mapped(spark, sf)[1]
+
+
 def _damaged(spark, sf):
     cells = _typed(spark, sf, ["CUST_NAME", "ADDR_STREET"])
     return cells.join(mojibake.damaged_values(cells, "value", Stage(spark, "p5")), "value")
@@ -104,7 +128,7 @@ def p10_shared_amount(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(amount, "doc_id", "left").fillna(0, ["shared_chars"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_unmatched, p4_values, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
 
 _LACK = "(trim({c}, ' ') IS NULL OR lower(trim({c}, ' ')) IN ('', '-', 'n/a', 'none', 'unknown', 'tbd'))"
 _P7 = [
