@@ -8,3 +8,32 @@ from pyspark.sql import functions as F
 def full_match(c, pattern: str):
     """Whole value matches; unlike ^...$ a trailing line break is no match."""
     return c.rlike(r"\A(?:" + pattern + r")\z")
+
+
+def _folding() -> tuple[str, str]:
+    """Letters that decompose into a base letter and marks, and those base letters."""
+    import unicodedata
+
+    source, target = [], []
+    for code in range(0xC0, 0x250):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and ord(base[0]) < 128:
+            source.append(chr(code))
+            target.append(base[0])
+    return "".join(source), "".join(target)
+
+
+_ACCENTED, _PLAIN = _folding()
+
+
+def strip_accents(c):
+    """Latin letters without their marks; letters that don't decompose (as L with stroke) stay."""
+    return F.translate(c, _ACCENTED, _PLAIN)
+
+
+def fold_latin(c):
+    """Lower case, without marks; letters that don't decompose become their nearest ASCII letters."""
+    out = strip_accents(F.lower(c))
+    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ı", "i")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
