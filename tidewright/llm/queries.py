@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canon, components, leakage, mojibake, spans, survivors, tokens
+from tidewright.llm import canon, components, leakage, mojibake, places, spans, survivors, tokens
 from tidewright.queries import read
 from tidewright.session import Stage
 
 RUN1_FIELDS = ["NAME", "STREET", "HOUSE_NUM1", "CITY1", "POST_CODE1", "SRC_TAX", "SRC_PHONE", "SRC_EMAIL"]
 
 
+PLACE = ["town", "name", "kind", "number"]
+
+
+def _places(spark, sf):
+    stage = Stage(spark, "p2")
+    rows = read(spark, sf, "lookalikes")
+    repaired = mojibake.damaged_values(rows.select("ADDR_STREET"), "ADDR_STREET", stage)
+    return places.normal_addresses(rows, "CUST_ID", "ADDR_STREET", "CITY", "POSTAL_CODE", stage, repaired)
+
+
+def p2_found(spark, sf):
+    return places.pairs_of_places(_places(spark, sf), "CUST_ID", PLACE).toDF("cust_id_a", "cust_id_b")
+
+
+def p2_places(spark, sf):
+    """Every customer's place in its normal form."""
+    return _places(spark, sf).withColumnRenamed("CUST_ID", "cust_id")
+
+
 def p3_found(spark, sf):
     stage = Stage(spark, "p3")
     records = read(spark, sf, "deduplicated").where("run_no = 2")
@@ -128,7 +147,7 @@ def p10_shared_amount(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(amount, "doc_id", "left").fillna(0, ["shared_chars"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_unmatched, p4_values, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_places, p3_found, p4_found, p4_unmatched, p4_values, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
 
 _LACK = "(trim({c}, ' ') IS NULL OR lower(trim({c}, ' ')) IN ('', '-', 'n/a', 'none', 'unknown', 'tbd'))"
 _P7 = [
