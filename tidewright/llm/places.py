@@ -193,22 +193,30 @@ def _limit(c):
     return F.when(F.length(c) < 5, 0).when(F.length(c) < 9, 1).otherwise(2)
 
 
-def spelling_rewrites(forms: DataFrame) -> DataFrame:
-    """forms (scope, word, n): rewrites (scope, word, lead) of words to the commonest word of their scope a few edits away.
+def near_words(forms: DataFrame) -> DataFrame:
+    """forms (scope, word, n): pairs (scope, word, lead, d) of words of one scope that are a few edits apart, both ways round.
+
+    Words meet through their deletion neighbourhoods, so a scope's words are never paired with each other.
+    """
+    variants, distance = F.pandas_udf("array<string>")(_variants), F.pandas_udf("int")(_apart)
+    spread = forms.where("length(word) >= 5").select("scope", "word", F.explode(variants("word", F.lit(2))).alias("v"))
+    near = spread.join(spread.withColumnRenamed("word", "lead"), ["scope", "v"]).where("word < lead").select("scope", "word", "lead").distinct()
+    near = near.withColumn("d", distance("word", "lead")).where(F.col("d") <= F.greatest(_limit(F.col("word")), _limit(F.col("lead"))))
+    ways = F.array(F.struct("word", "lead"), F.struct(F.col("lead").alias("word"), F.col("word").alias("lead")))
+    return near.select("scope", "d", F.explode(ways).alias("w")).select("scope", "w.word", "w.lead", "d").where(F.col("d") <= _limit(F.col("lead")))
+
+
+def spelling_rewrites(near: DataFrame, counts: DataFrame) -> DataFrame:
+    """near (scope, word, lead, d), counts (scope, word, n): rewrites (scope, word, next) to the nearest, then commonest word.
 
     A word is rewritten only to one that is commoner by more than chance: if slips make at most 15 of 100 occurrences of a word,
     the slip's share of the two must not exceed that significantly (chi-square of the excess), and both can't be frequent.
     """
-    variants, distance = F.pandas_udf("array<string>")(_variants), F.pandas_udf("int")(_apart)
-    spread = forms.where("length(word) >= 5").select("scope", "word", "n", F.explode(variants("word", F.lit(2))).alias("v"))
-    other = spread.select("scope", "v", F.col("word").alias("lead"), F.col("n").alias("m"))
-    near = spread.join(other, ["scope", "v"]).where("word <> lead and (m > n or (m = n and lead < word))").select("scope", "word", "n", "lead", "m").distinct()
-    near = near.withColumn("d", distance("word", "lead")).where(F.col("d") <= _limit(F.col("lead")))
+    known = near.join(counts, ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m > n or (m = n and lead < word)")
     total = F.col("n") + F.col("m")
     excess = F.greatest(F.col("n") - total * 0.15, F.lit(0.0))
-    near = near.where(excess * excess / (total * 0.15 * 0.85) < SIGNIFICANT)
-    best = near.groupBy("scope", "word").agg(F.max(F.struct(-F.col("d"), "m", "lead")).alias("b"))
-    return best.select("scope", "word", F.col("b.lead").alias("lead"))
+    good = known.where(excess * excess / (total * 0.15 * 0.85) < SIGNIFICANT)
+    return good.groupBy("scope", "word").agg(F.max(F.struct(-F.col("d"), "m", "lead")).alias("b")).select("scope", "word", F.col("b.lead").alias("next"))
 
 
 def _spelled(c):
@@ -219,15 +227,19 @@ def _spelled(c):
 
 
 def settle(forms: DataFrame, stage, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Mines and applies spelling rewrites until no new one appears; gives (scope, word, lead) for every word of forms (scope, word, n)."""
+    """Mines and applies spelling rewrites until no new one appears; gives (scope, word, lead) for every word of forms (scope, word, n).
+
+    Which words are near each other is found once; each round weighs them anew by the counts after the rewrites so far.
+    """
     mapping = stage.write(forms.select("scope", "word", F.col("word").alias("lead"), "n"), "settled")
+    near = stage.write(near_words(mapping), "near")
     for _ in range(rounds):
         current = mapping.groupBy("scope", F.col("lead").alias("word")).agg(F.sum("n").alias("n"))
-        found = stage.write(spelling_rewrites(current).toDF("scope", "lead", "next"), "rewrites")
+        found = stage.write(spelling_rewrites(near, current).withColumnRenamed("word", "lead"), "rewrites")
         if found.isEmpty():
             break
         new = stage.write(mapping.join(found, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead"), "n"), "settled")
-        stage.drop(mapping)
+        stage.drop(mapping, found)
         mapping = new
     return mapping.select("scope", "word", "lead")
 
@@ -244,12 +256,13 @@ def _abbreviates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 
 def town_rewrites(towns: DataFrame) -> DataFrame:
-    """towns (town, n): rewrites (town, lead) of towns of several words to a commoner one with the same last word, of which the
-    others are abbreviated."""
+    """towns (town, n): rewrites (town, lead) of towns of several words to the commonest one with the same last word and the same
+    initials, of which the other words are abbreviated."""
     short = F.pandas_udf("boolean")(_abbreviates)
-    parts = towns.where("instr(town, ' ') > 0").select("town", "n", F.substring_index("town", " ", -1).alias("last"))
-    near = parts.join(parts.toDF("lead", "m", "last"), "last").where("length(town) < length(lead) and m > n").where(short("town", "lead"))
-    return near.groupBy("town").agg(F.max(F.struct("m", "lead")).alias("b")).select("town", F.col("b.lead").alias("lead"))
+    group = F.array_join(F.transform(F.split("town", " "), lambda w, i: F.when(i < F.size(F.split("town", " ")) - 1, F.left(w, F.lit(1))).otherwise(w)), " ")
+    parts = towns.where("instr(town, ' ') > 0").select("town", "n", group.alias("g"))
+    leads = parts.groupBy("g").agg(F.max(F.struct("n", "town")).alias("m")).select("g", F.col("m.town").alias("lead"))
+    return parts.join(leads, "g").where("town <> lead").where(short("town", "lead")).select("town", "lead")
 
 
 def kind_rewrites(parsed: DataFrame) -> DataFrame:
