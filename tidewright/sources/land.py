@@ -79,20 +79,26 @@ def _all_text(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', skip: int = 0, null_tokens: tuple[str, ...] = (), member: str | None = None, multi_line: bool = False) -> tuple[DataFrame, dict]:
     """(table of text with __rejected, options). Short rows are filled with null; rows with more cells than the header are kept in
     __rejected. Encoding and delimiter are detected."""
-    name, data = detect.unpack(path, member)
-    encoding, basis = detect.encoding_of(data[: detect.HEAD])
-    text, lost = detect.transcode(data, encoding)
+    name, packed = os.path.basename(path), path.lower().endswith((".gz", ".zip"))
+    if packed:
+        name, head = detect.unpack(path, member)
+    else:
+        with open(path, "rb") as f:
+            head = f.read(detect.HEAD)
+    encoding, basis = detect.encoding_of(head[: detect.HEAD])
+    direct = not packed and basis == "valid" and not skip  # Spark reads the file itself; only its head was looked at
+    text, lost = detect.transcode(head if packed or direct else detect.unpack(path)[1], encoding)
     if skip:
         text = "".join(text.splitlines(keepends=True)[skip:])
-    delimiter = delimiter or detect.delimiter_of(text)
+    delimiter = delimiter or detect.delimiter_of(text[: detect.HEAD])
     rows = detect.rows_of("\n".join(text.splitlines()[:1]), delimiter, quote)
     if not rows:
         raise LandingError(f"{name} is empty")
     names = detect.header_names(rows[0])
-    where = path if encoding == "utf-8" and basis == "valid" and not skip and os.path.basename(path) == name else _put(spark, text, ".csv")
+    where = path if direct else _put(spark, text, ".csv")
     schema = _text_schema(names).add(CORRUPT, T.StringType())
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("quote", quote).option("escape", quote)
-    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line or '"' in text and "\n" in text).csv(where)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).csv(where)
     for n in names:
         c = F.col(f"`{n}`")
         df = df.withColumn(n, F.when(~F.trim(c).isin(["", *null_tokens]), c))
@@ -199,6 +205,7 @@ def land(spark: SparkSession, path: str, out: str, expected_rows: int | None = N
     details: dict = {}
     if kind == "delimited":
         df, details = read_delimited(spark, path, **options)
+        df = Stage(spark, "land").write(df, "raw")
         rejected = df.where(f"{CORRUPT} is not null").select(CORRUPT).distinct().count()
         if rejected and not tolerate_rejects:
             raise LandingError(f"{rejected} different lines don't fit the header")
