@@ -17,7 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.canon import _variants, edits
@@ -194,16 +194,16 @@ def _limit(c):
 
 
 def near_words(forms: DataFrame) -> DataFrame:
-    """forms (scope, word, n): pairs (scope, word, lead, d) of words of one scope that are a few edits apart, both ways round.
+    """forms (scope, word, n): pairs (scope, word, lead, d) of a word and a commoner one (of ties the smaller) a few edits away.
 
-    Words meet through their deletion neighbourhoods, so a scope's words are never paired with each other.
+    Words meet through their deletion neighbourhoods. Of each neighbourhood only the commonest word is a lead, so the pairs are at most
+    as many as the neighbourhoods' entries, however many slips a common word has.
     """
     variants, distance = F.pandas_udf("array<string>")(_variants), F.pandas_udf("int")(_apart)
-    spread = forms.where("length(word) >= 5").select("scope", "word", F.explode(variants("word", F.lit(2))).alias("v"))
-    near = spread.join(spread.withColumnRenamed("word", "lead"), ["scope", "v"]).where("word < lead").select("scope", "word", "lead").distinct()
-    near = near.withColumn("d", distance("word", "lead")).where(F.col("d") <= F.greatest(_limit(F.col("word")), _limit(F.col("lead"))))
-    ways = F.array(F.struct("word", "lead"), F.struct(F.col("lead").alias("word"), F.col("word").alias("lead")))
-    return near.select("scope", "d", F.explode(ways).alias("w")).select("scope", "w.word", "w.lead", "d").where(F.col("d") <= _limit(F.col("lead")))
+    spread = forms.where("length(word) >= 5").select("scope", "word", F.struct(-F.col("n"), "word").alias("r"), F.explode(variants("word", F.lit(2))).alias("v"))
+    lead = F.min("r").over(Window.partitionBy("scope", "v"))["word"]
+    near = spread.select("scope", "word", lead.alias("lead")).where("word <> lead").distinct()
+    return near.withColumn("d", distance("word", "lead")).where(F.col("d") <= _limit(F.col("lead")))
 
 
 def spelling_rewrites(near: DataFrame, counts: DataFrame) -> DataFrame:
