@@ -165,7 +165,8 @@ class Reference:
                 tokens += [[(w, 1.0)] for w in max(short[t], key=lambda p: (sum(weights.get(w, 0) for w in p), p))]
                 continue
             for a in self._alias(domain, t):
-                tokens.append([(a, 1.0)] if a in weights else known.get(a, []))
+                if a in weights or a not in LIGHT:
+                    tokens.append([(a, 1.0)] if a in weights else known.get(a, []))
         flat = [w for choice in tokens for w, _ in choice[:1]]
         if domain == "PAYMENT_TERMS" and numbers and DAYS & set(flat) and all(w in LIGHT or w == "due" for w in flat) and all(tokens):
             tokens = [[("days", 1.0)], [("net", 1.0)]]  # a bare number of days

@@ -101,6 +101,7 @@ def repair_token(token: str) -> str | None:
     """The token as it was, None if it is sound or can't be put right by its characters alone."""
     if token.isascii() or LOST in token:
         return None
+    found = []
     for page in READ_AS:
         now = token
         for _ in range(3):
@@ -111,7 +112,10 @@ def repair_token(token: str) -> str | None:
                 break
             now = new
         if now != token and not any(128 <= ord(ch) < 160 for ch in now) and not _odd(now):
-            return now
+            found.append(now)
+    if found:  # of several code pages the first that keeps the word's case
+        plain = re.sub("[^A-Za-z]", "", token)
+        return next((x for x in found if x.isupper() or len(plain) < 2 or not plain.isupper()), found[0])
     if _odd(token):
         for written, read in GUESSED:
             raw = _encode(token, read)
