@@ -269,7 +269,7 @@ def test_fuzzy_pairs_veto_and_clusters(spark):
 
 
 def test_windowed_candidates_equal_look_ahead(spark):
-    blocks = spark.createDataFrame([(i, f"N{i:03d}", 1, "B") for i in range(40)], "id bigint, nn string, pass int, block string")
+    blocks = spark.createDataFrame([(i, f"N{i:03d}", 1, "B", "", 0) for i in range(40)], "id bigint, nn string, pass int, block string, k string, f int")
     got = {(r["a"], r["b"]) for r in dedup.candidates(blocks, 10, 7).collect()}
     assert got == {(i, j) for i in range(40) for j in range(i + 1, min(i + 8, 40))}
 
@@ -294,3 +294,12 @@ def test_insight_helpers():
     assert insight.stale_columns(["A", "b"], ["B"]) == ["A"]
     chain = insight.audit_chain([(1, "a"), (2, "b")])
     assert chain[0][2] != chain[1][2]
+
+
+def test_filtered_candidates_lose_no_fuzzy_pair(spark, sf):
+    from tidewright.queries import migrate
+
+    forms, codes = migrate._forms(spark, sf), migrate._codes(spark, sf).groupBy("id").agg(F.min("code").alias("code"))
+    plain = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms)), codes)
+    early = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), filtered=True))
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in early.collect()}

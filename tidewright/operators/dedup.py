@@ -82,9 +82,9 @@ def normal_forms(df: DataFrame, id_: str, name: str, address: list[str], strong:
     return out.where("nn is not null and nn <> ''").withColumns({"dn": numbers("nn"), "da": numbers("na")})
 
 
-def block_keys(forms: DataFrame) -> DataFrame:
-    """id, pass, block: the first 3 characters of the name's sorted words, the first 6 of the address, and its numbers (two groups, or
-    one of 4 digits)."""
+def block_keys(forms: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """id, nn, pass, block: the first 3 characters of the name's sorted words, the first 6 of the address, and its numbers (two groups,
+    or one of 4 digits); f: what the cheap filters on pairs need, k: the numbers of the name."""
     words = F.array_join(F.array_sort(F.split("nn", " ")), "")
     numbers = F.filter(F.split("na", " "), lambda w: w.rlike(r"\A\d+\z"))
     long = F.exists(numbers, lambda w: F.length(w) >= 4)
@@ -93,20 +93,36 @@ def block_keys(forms: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("pass"), F.when(F.length("na") >= 6, F.left("na", F.lit(6))).alias("block")),
         F.struct(F.lit(3).alias("pass"), F.when((F.size(numbers) >= 2) | long, F.array_join(F.array_sort(numbers), "-")).alias("block")),
     )
-    return forms.select("id", "nn", F.inline(keys)).where("block is not null and block <> ''")
+    coded = forms.withColumn("code", F.lit(None).cast("string")) if codes is None else forms.join(codes, "id", "left")
+    facts = F.struct(F.length("nn").alias("size"), "da", "strong", "code")
+    return coded.select("id", "nn", facts.alias("f"), F.array_join("dn", "-").alias("k"), F.inline(keys)).where("block is not null and block <> ''")
 
 
-def candidates(blocks: DataFrame, limit: int = MAX_BLOCK, ahead: int = LOOK_AHEAD) -> DataFrame:
+def plausible(x: Column, y: Column) -> Column:
+    """What two records of one block must fulfil before their names are compared: no two codes, no other numbers in two strong
+    addresses, lengths within the bound that the review threshold sets (a little wider, for names written in one word)."""
+    two_codes = x["code"].isNotNull() & y["code"].isNotNull() & (x["code"] != y["code"])
+    two_places = x["strong"] & y["strong"] & (F.size(x["da"]) == F.size(y["da"])) & (x["da"] != y["da"])
+    return ~two_codes & ~two_places & (2 * F.least(x["size"], y["size"]) / (x["size"] + y["size"]) >= REVIEW - 0.05)
+
+
+def candidates(blocks: DataFrame, limit: int = MAX_BLOCK, ahead: int = LOOK_AHEAD, filtered: bool = False) -> DataFrame:
     """a, b (a < b), pass (the first that found the pair). Blocks within the limit: all pairs of the block, at most its square; larger
-    ones: each record with the next ``ahead`` in the order of the names, by joining runs of ranks with themselves and the next."""
+    ones: each record with the next ``ahead`` in the order of the names, by joining runs of ranks with themselves and the next.
+
+    filtered: only pairs with the same numbers in their names that are plausible; the filters run within the join, before pairs are shuffled.
+    """
     sizes = blocks.groupBy("pass", "block").agg(F.count(F.lit(1)).alias("n"))
     sized = blocks.join(sizes, ["pass", "block"])
-    small = sized.where(F.col("n").between(2, limit)).select("pass", "block", "id")
-    pairs = small.select("pass", "block", F.col("id").alias("a")).join(small.select("pass", "block", F.col("id").alias("b")), ["pass", "block"]).where("a < b").select("a", "b", "pass")
+    if not filtered:
+        sized = sized.withColumn("k", F.lit("")).withColumn("f", F.lit(0))
+    keep = plausible(F.col("f"), F.col("g")) if filtered else F.lit(True)
+    small = sized.where(F.col("n").between(2, limit)).select("pass", "block", "k", "id", "f")
+    pairs = small.withColumnRenamed("id", "a").join(small.toDF("pass", "block", "k", "b", "g"), ["pass", "block", "k"]).where("a < b").where(keep).select("a", "b", "pass")
     ranked = sized.where(F.col("n") > limit).withColumn("rn", F.row_number().over(Window.partitionBy("pass", "block").orderBy("nn", "id")) - 1)
-    left = ranked.select("pass", "block", "id", "rn", F.explode(F.array(F.floor(F.col("rn") / ahead), F.floor(F.col("rn") / ahead) + 1)).alias("run"))
-    right = ranked.select("pass", "block", F.col("id").alias("id2"), F.col("rn").alias("rn2"), F.floor(F.col("rn") / ahead).alias("run"))
-    near = left.join(right, ["pass", "block", "run"]).where((F.col("rn2") > F.col("rn")) & (F.col("rn2") <= F.col("rn") + ahead))
+    left = ranked.select("pass", "block", "k", "id", "f", "rn", F.explode(F.array(F.floor(F.col("rn") / ahead), F.floor(F.col("rn") / ahead) + 1)).alias("run"))
+    right = ranked.select("pass", "block", "k", F.col("id").alias("id2"), F.col("f").alias("g"), F.col("rn").alias("rn2"), F.floor(F.col("rn") / ahead).alias("run"))
+    near = left.join(right, ["pass", "block", "k", "run"]).where((F.col("rn2") > F.col("rn")) & (F.col("rn2") <= F.col("rn") + ahead)).where(keep)
     near = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "pass")
     return pairs.unionByName(near).groupBy("a", "b").agg(F.min("pass").alias("pass"))
 
@@ -305,7 +321,7 @@ def deduplicate(records: DataFrame, id_: str, pk: str, keys: list[ExactKey], nam
     codes = stage.write(cells.where(F.col("key_name").isin(vetoing)).groupBy("id").agg(F.min("value").alias("code")), "codes")
     forms = stage.write(normal_forms(records, id_, name, address, strong), "forms")
     exact = veto(exact_edges(cells), codes, F.col("reason").isin([f"EXACT:{k}" for k in vetoing]))
-    fuzzy = fuzzy_pairs(forms, candidates(block_keys(forms)), codes).where("decision = 'MERGE'").select("a", "b", "reason")
+    fuzzy = fuzzy_pairs(forms, candidates(block_keys(forms, codes), filtered=True)).where("decision = 'MERGE'").select("a", "b", "reason")
     edges = stage.write(exact.unionByName(fuzzy), "edges")
     groups = split_conflicts(edges, stage.write(components(edges, stage), "groups"), codes)
     groups = stage.write(groups, "final")

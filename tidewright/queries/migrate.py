@@ -281,7 +281,8 @@ def dedup_candidates(spark, sf):
 
 
 def dedup_fuzzy_pairs(spark, sf):
-    return dedup.fuzzy_pairs(_forms(spark, sf), _candidates(spark, sf), _codes(spark, sf).groupBy("id").agg(F.min("code").alias("code")))
+    forms, codes = _forms(spark, sf), _codes(spark, sf).groupBy("id").agg(F.min("code").alias("code"))
+    return dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), 200, 50, filtered=True))
 
 
 def dedup_possible_pairs(spark, sf):
