@@ -153,6 +153,7 @@ def test_utf8_read_in_a_code_page(word, read):
 def test_twice_and_code_pages():
     twice = damage(damage("Bäckerei", "utf-8", "cp1252"), "utf-8", "cp1252")
     assert mojibake.repair_token(twice) == "Bäckerei"
+    assert mojibake.repair_token("Stuckzõ³") == "Stuckzäü" and mojibake.repair_token("cm³") is None
     assert mojibake.repair_token("R³veirt³r") == "Rüveirtür" and mojibake.repair_token("Getr‰nke") == "Getränke" and mojibake.repair_token("R\x84xean") == "Räxean"
 
 

@@ -88,6 +88,8 @@ def _odd(token: str) -> bool:
         elif ch in SOUND_SIGNS:
             if before.isalpha() and after.isalpha() and ch not in "’‘–—·&ºª°":
                 return True
+            if before.isalpha() and (ch in "§½¼¾£€¡¿" or ch in "²³" and i > 2):  # m³ is sound, a longer word's end is not
+                return True
         elif before.isalpha() or after.isalpha() or unicodedata.category(ch) == "Cc":
             return True
     return False
