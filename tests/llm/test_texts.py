@@ -139,6 +139,16 @@ def test_spans_of_odd_texts(spark):
     assert shared(spark, [], 300) == set()
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 40, 1000])
+def test_anchors_of_chunks_are_those_of_the_text(chunk):
+    rng = random.Random(chunk)
+    for n in (0, 9, 10, 30, 31, 200, 333):
+        text = "".join(rng.choice("abc") for _ in range(n))
+        whole = spans.chunked_anchors(text, 10, 11, 10**6)
+        parts = spans.chunked_anchors(text, 10, 11, chunk)
+        assert [list(x) for x in whole] == [list(x) for x in parts]
+
+
 # ---------------------------------------------------------------- mojibake
 def damage(text, written, read):
     return "".join(mojibake._TABLE[read][b] for b in text.encode(written))

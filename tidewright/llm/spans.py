@@ -29,6 +29,8 @@ PHRASE = 50
 SHARD_NODES = 400_000
 #: Characters of stretches that one task scans.
 TASK_CHARS = 8_000_000
+#: Characters of one text that are worked on at a time.
+CHUNK = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -82,14 +84,23 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def chunked_anchors(text: str, phrase: int, width: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the anchors; a long text goes in chunks that overlap by what a choice depends on, so memory is bounded."""
+    hashes, places = [], []
+    for start in range(0, max(len(text) - phrase + 1, 1), chunk):
+        low = max(0, start - (width - 1))
+        h = window_hashes(text[low : start + chunk + width + phrase - 2], phrase)
+        at = anchors(h, width)
+        at = at[(at >= start - low) & (at < start - low + chunk)]
+        hashes.append(_signed(h[at]))
+        places.append((at + low).astype(np.int32))
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def _find_anchors(phrase: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for x in b["text"]:
-                h = window_hashes(x, phrase)
-                at = anchors(h, width)
-                out.append((_signed(h[at]), at.astype(np.int32)))
+            out = [chunked_anchors(x, phrase, width) for x in b["text"]]
             yield pd.DataFrame({"t": b["t"], "grams": [x for x, _ in out], "at": [x for _, x in out]})
 
     return run
@@ -181,7 +192,8 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, stage: Stage, size: in
     confirmed = located.select("t", F.explode("at").alias("at")).distinct()
 
     parts = _chains(confirmed, texts, size, phrase, width).select("t", "start", "end").distinct().join(texts.select("t", "text"), "t")
-    hashed = parts.select("t", "start", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("piece")).mapInPandas(
+    cut = parts.select("t", "text", "end", F.explode(F.expr(f"sequence(start, end - {size}, {CHUNK})")).alias("start"))
+    hashed = cut.select("t", "start", F.expr(f"substring(text, cast(start + 1 as int), cast(least(end - start, {CHUNK + size - 1}) as int))").alias("piece")).mapInPandas(
         _hash_windows(size), "t bigint, start bigint, hashes array<bigint>"
     )
     windows = stage.write(hashed.select("t", "start", F.posexplode("hashes").alias("i", "h")).select("t", (F.col("start") + F.col("i")).alias("at"), "h"), "windows")
