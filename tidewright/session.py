@@ -52,6 +52,8 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":  # the default; long texts need smaller batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     context._tidewright_shipped = True
 
 
