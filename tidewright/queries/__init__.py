@@ -9,10 +9,10 @@ def read(spark, sf_dir: str, table: str):
 
 def core() -> tuple[dict, dict]:
     """All queries of the core, and their SQL."""
-    from tidewright.queries import assess, manage, migrate, problems
+    from tidewright.queries import assess, manage, migrate, more, problems
 
     found, sql = {}, {}
-    for module in (problems, assess, migrate, manage):
+    for module in (problems, assess, migrate, manage, more):
         found |= module.QUERIES
         sql |= module.SQL
     return found, sql

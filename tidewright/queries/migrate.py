@@ -55,7 +55,7 @@ def transform_staging(spark, sf):
 
 
 def transform_errors(spark, sf):
-    return _staging(spark, sf).where("_TRANSFORM_STATUS = 'FAILED'").select("__rn", "_SRC_PK", "_TRANSFORM_ERRORS")
+    return _written(spark, sf).where("_TRANSFORM_STATUS = 'FAILED'").select("__rn", "_SRC_PK", "_TRANSFORM_ERRORS")
 
 
 def transform_rule_summary(spark, sf):
