@@ -151,11 +151,11 @@ def test_expressions(spark):
 
 
 @pytest.mark.parametrize("rule", ["a; b", "a -- b", "(SELECT 1)", "sleep(1)", "nosuch", "LEFT(a, -1)", "SUBSTRING(a, 0, 2)", "a b", "", "CASE END", "LPAD(a, 5000)", "x" * 1001, "t.a"])
-def test_refused_expressions(rule):
+def test_refused_expressions(spark, rule):
     assert expression.refuse(rule, ["a", "b"])
 
 
-def test_content_functions():
+def test_content_functions(spark):
     assert expression.content_functions("LPAD(TRIM(a), 5, '0')", ["a"]) == {"LPAD"}
 
 
