@@ -102,6 +102,18 @@ def test_leaks_equal_brute_force(spark):
     assert want and got == want
 
 
+def test_edited_copy_beside_verbatim_copies(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(words)]
+    item = [(1, " ".join(words))]
+    for n in (0, 1, 3):
+        docs = [(i, " ".join(words)) for i in range(n)] + [(9, " ".join(edited))]
+        assert leaks(spark, docs, item) == {(i, 1): 40 for i in range(n)} | {(9, 1): 7}
+    tables = [spark.createDataFrame(rows, "id bigint, text string") for rows in (docs, item)]
+    copies = leakage.leaks(tables[0], "id", "text", tables[1].withColumnRenamed("id", "item"), "item", "text", Stage(spark, "l"), runs_only=True).where("run >= 12")
+    assert sorted(r["id"] for r in copies.collect()) == [0, 1, 2]
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, [], []) == {} and leaks(spark, [(1, "a b")], []) == {} and leaks(spark, [], [(1, "a " * 20)]) == {}
 

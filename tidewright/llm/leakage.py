@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Seeds are word five-grams of the items. One pass over the corpus finds every occurrence of any of them (hash join on 64-bit gram
-hashes); how many documents hold each gram, counted over the whole corpus, decides which gram of every window of 12 item words
-is the rarest that occurs at all, and only these rare grams make a document a candidate for an item. A document that holds the
-window holds its rarest gram, so no copy is missed; edited copies need one rare gram left. Candidates are then aligned with the item (Smith-Waterman over words).
+hashes), and each document that holds one is a candidate for each item that has it. For runs of 12 words alone the rarest gram
+of every window of 12 item words, counted over the whole corpus, is enough: a document that holds the window holds its rarest
+gram. An edited copy may have lost just that one (beside a verbatim copy it always has), so for edited copies every gram is a
+seed. Candidates are then aligned with the item (Smith-Waterman over words).
 """
 
 from __future__ import annotations
@@ -64,11 +65,12 @@ def _aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame([align(x, y) for x, y in zip(d, i)], columns=["run", "score"])
 
 
-def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, stage: Stage) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, stage: Stage, runs_only: bool = False) -> DataFrame:
     """Columns doc_id, item_id, run (longest run of words consecutive in both), score, full (score of the item against itself).
 
-    One row per candidate pair. Every pair with a run of 12 words or more is among them. Null, empty and wordless texts match
-    nothing, nor do items shorter than 12 words (they have no window). Repeated rows of an id count once.
+    One row per pair that shares five words in a row; with runs_only at least every pair with a run of 12 words or more, from fewer
+    candidates. Null, empty and wordless texts match nothing, nor do items shorter than 12 words (they have no window). Repeated
+    rows of an id count once.
     """
     named = lambda df, i, t: df.select(F.col(i).alias("id"), words(F.col(t)).alias("w")).where("id is not null and size(w) > 0")
     own = stage.write(named(items, item_id, item_text).dropDuplicates(["id", "w"]), "items")
@@ -77,12 +79,14 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     corpus = named(docs, doc_id, doc_text)
     side = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
     hits = stage.write(corpus.select("id", F.explode(_grams(F.col("w"), SEED)).alias("gram")).join(side, "gram", "left_semi").distinct(), "hits")
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    per = RUN - SEED + 1
-    starts = windows.join(counts, "gram").select("id", "gram", "n", F.explode(F.sequence(F.col("at") - (per - 1), F.col("at"))).alias("start"))
-    last = own.where(F.size("w") >= RUN).select("id", (F.size("w") - RUN).alias("last"))
-    rarest = starts.join(last, "id").where("start between 0 and last").groupBy("id", "start").agg(F.min(F.struct("n", "gram")).alias("m"))
-    seeds = rarest.select(F.col("id").alias("item"), F.col("m.gram").alias("gram")).distinct()
+    seeds = windows.select(F.col("id").alias("item"), "gram").distinct()
+    if runs_only:
+        counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        per = RUN - SEED + 1
+        starts = windows.join(counts, "gram").select("id", "gram", "n", F.explode(F.sequence(F.col("at") - (per - 1), F.col("at"))).alias("start"))
+        last = own.where(F.size("w") >= RUN).select("id", (F.size("w") - RUN).alias("last"))
+        rarest = starts.join(last, "id").where("start between 0 and last").groupBy("id", "start").agg(F.min(F.struct("n", "gram")).alias("m"))
+        seeds = rarest.select(F.col("id").alias("item"), F.col("m.gram").alias("gram")).distinct()
     pairs = stage.write(hits.join(seeds, "gram").select("id", "item").distinct(), "pairs")
     aligned = F.pandas_udf("run int, score int")(_aligned)
     made = (

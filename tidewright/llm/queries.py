@@ -120,12 +120,12 @@ def p8_round_trip(spark, sf):
     return coded.select("doc_id", "text", tokens.decode(coded, "ids").alias("back")).where("text <> back").select("doc_id")
 
 
-def _leaks(spark, sf):
-    return leakage.leaks(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "text", Stage(spark, "p9"))
+def _leaks(spark, sf, **options):
+    return leakage.leaks(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "text", Stage(spark, "p9"), **options)
 
 
 def p9_found(spark, sf):
-    return _leaks(spark, sf).where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
+    return _leaks(spark, sf, runs_only=True).where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
 
 
 def p9_alignments(spark, sf):
