@@ -303,3 +303,14 @@ def test_filtered_candidates_lose_no_fuzzy_pair(spark, sf):
     plain = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms)), codes)
     early = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), filtered=True))
     assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in early.collect()}
+
+
+def test_registered_fuzzy_pairs_compare_whole_blocks(spark, sf, tmp_path):
+    from tidewright.queries import migrate
+
+    names = ["Aaa Tools Zedward", *[f"Aaa {text} Filler" for text in ("".join(chr(97 + i * p % 26) for p in (1, 3, 5, 7, 11, 17)) * 2 + chr(97 + i // 26) * 4 for i in range(250))], "Zedward Tools Aaa"]
+    like = spark.read.parquet(f"{sf}/lookalikes.parquet")
+    rows = spark.createDataFrame(list(enumerate(names)), "rn bigint, CUST_NAME string")
+    rows.select(*[c if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in like.dtypes]).write.parquet(f"{tmp_path}/lookalikes.parquet")
+    got = migrate.dedup_fuzzy_pairs(spark, str(tmp_path)).where("a = 0").collect()
+    assert [(r["b"], r["score"], r["decision"]) for r in got] == [(251, 1.0, "MERGE")]

@@ -282,7 +282,7 @@ def dedup_candidates(spark, sf):
 
 def dedup_fuzzy_pairs(spark, sf):
     forms, codes = _forms(spark, sf), _codes(spark, sf).groupBy("id").agg(F.min("code").alias("code"))
-    return dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), 200, 50, filtered=True))
+    return dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), filtered=True))
 
 
 def dedup_possible_pairs(spark, sf):
