@@ -314,3 +314,26 @@ def test_registered_fuzzy_pairs_compare_whole_blocks(spark, sf, tmp_path):
     rows.select(*[c if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in like.dtypes]).write.parquet(f"{tmp_path}/lookalikes.parquet")
     got = migrate.dedup_fuzzy_pairs(spark, str(tmp_path)).where("a = 0").collect()
     assert [(r["b"], r["score"], r["decision"]) for r in got] == [(251, 1.0, "MERGE")]
+
+
+def test_oversized_blocks_are_compared_completely(spark):
+    blocks = spark.range(605).selectExpr("id", "lpad(id, 3, '0') AS nn", "1 AS pass", "if(id < 600, 'B', 'C') AS block", "'' AS k", "0 AS f")
+    got = [(r["a"], r["b"]) for r in dedup.candidates(blocks, 100).collect()]
+    assert len(got) == 600 * 599 // 2 + 10 and set(got) == {(i, j) for ids in (range(600), range(600, 605)) for i in ids for j in ids if i < j}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ABCDÉ1 ", max_size=12), st.text("ABCDÉ1 ", max_size=12))
+def test_letters_bound_insertions_and_deletions(a, b):
+    x, y = next(dedup._letters([pd.Series([a, b])])).to_numpy()
+    bits = sum(((int(p) ^ int(q)) % 2**64).bit_count() for p, q in zip(x, y))
+    assert bits <= len(a) + len(b) - 2 * dedup._lcs(a, b)
+
+
+def test_filtered_and_dealt_pairs_lose_no_fuzzy_pair(spark, sf):
+    from tidewright.queries import migrate
+
+    forms, codes = migrate._forms(spark, sf), migrate._codes(spark, sf).groupBy("id").agg(F.min("code").alias("code"))
+    whole = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms), 10**9), codes).collect()
+    dealt = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), 5, filtered=True)).collect()
+    assert whole and sorted(map(tuple, whole)) == sorted(map(tuple, dealt))

@@ -1,8 +1,8 @@
 """Entity resolution: exact keys, blocked fuzzy pairs, vetoes, constrained clusters, golden records and survivorship.
 
 Record ids are 64-bit numbers (the row numbers of landing). Exact keys link as stars, with one aggregation per key. Blocking is a
-self-join on block keys with cheap native filters before any similarity is computed; a block over the limit is compared in a
-window of its sorted names instead, through a join on runs of ranks. Similarity runs in Arrow batches on what is left.
+self-join on block keys with cheap native filters before any similarity is computed; a block over the limit is dealt into parts,
+and every part is compared with every other. Similarity runs in Arrow batches on what is left.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from tidewright.session import Stage
 
 MERGE, REVIEW, NAME_WEIGHT = 0.88, 0.80, 0.65
 MAX_KEY_GROUP, MAX_BLOCK, COMMON_NAME, STREET_AGREEMENT = 25, 2000, 5, 60.0
-#: Names sorted within an oversized block: each is compared with the next so many.
-LOOK_AHEAD = MAX_BLOCK // 4
 PRIORITY = {"REVIEWED": 0, "TAX": 1, "EXACT": 2, "NAME_ADDRESS": 3, "NAME_ONLY": 4}
 
 
@@ -82,6 +80,20 @@ def normal_forms(df: DataFrame, id_: str, name: str, address: list[str], strong:
     return out.where("nn is not null and nn <> ''").withColumns({"dn": numbers("nn"), "da": numbers("na")})
 
 
+def _letters(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Which characters a name has: of 32 classes a bit each for the first four times, in two numbers. Two names differ by at least as
+    many insertions and deletions as bits."""
+    for s in batches:
+        out = []
+        for name in s:
+            bits = [0, 0]
+            for ch, n in Counter(ord(ch) % 32 for ch in name.replace(" ", "")).items():
+                for i in range(min(n, 4)):
+                    bits[i // 2] |= 1 << 32 * (i % 2) + ch
+            out.append([b - (1 << 64) if b >> 63 else b for b in bits])
+        yield pd.DataFrame(out, columns=["x", "y"])
+
+
 def block_keys(forms: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """id, nn, pass, block: the first 3 characters of the name's sorted words, the first 6 of the address, and its numbers (two groups,
     or one of 4 digits); f: what the cheap filters on pairs need, k: the numbers of the name."""
@@ -94,23 +106,28 @@ def block_keys(forms: DataFrame, codes: DataFrame | None = None) -> DataFrame:
         F.struct(F.lit(3).alias("pass"), F.when((F.size(numbers) >= 2) | long, F.array_join(F.array_sort(numbers), "-")).alias("block")),
     )
     coded = forms.withColumn("code", F.lit(None).cast("string")) if codes is None else forms.join(codes, "id", "left")
-    facts = F.struct(F.length("nn").alias("size"), "da", "strong", "code")
-    return coded.select("id", "nn", facts.alias("f"), F.array_join("dn", "-").alias("k"), F.inline(keys)).where("block is not null and block <> ''")
+    letters = F.pandas_udf("x bigint, y bigint")(_letters)
+    facts = F.struct(F.length("nn").alias("size"), "da", "strong", "code", "letters")
+    return coded.withColumn("letters", letters("nn")).select("id", "nn", facts.alias("f"), F.array_join("dn", "-").alias("k"), F.inline(keys)).where("block is not null and block <> ''")
 
 
 def plausible(x: Column, y: Column) -> Column:
     """What two records of one block must fulfil before their names are compared: no two codes, no other numbers in two strong
-    addresses, lengths within the bound that the review threshold sets (a little wider, for names written in one word)."""
+    addresses, lengths within the bound that the review threshold sets (a little wider, for names written in one word), nor more
+    letters that only one name has than that threshold allows (blanks aside, so for names written in one word too)."""
     two_codes = x["code"].isNotNull() & y["code"].isNotNull() & (x["code"] != y["code"])
     two_places = x["strong"] & y["strong"] & (F.size(x["da"]) == F.size(y["da"])) & (x["da"] != y["da"])
-    return ~two_codes & ~two_places & (2 * F.least(x["size"], y["size"]) / (x["size"] + y["size"]) >= REVIEW - 0.05)
+    other = sum(F.bit_count(x["letters"][c].bitwiseXOR(y["letters"][c])) for c in "xy")
+    return ~two_codes & ~two_places & (other <= (1 - REVIEW) * (x["size"] + y["size"]) + 1e-6) & (2 * F.least(x["size"], y["size"]) / (x["size"] + y["size"]) >= REVIEW - 0.05)
 
 
-def candidates(blocks: DataFrame, limit: int = MAX_BLOCK, ahead: int = LOOK_AHEAD, filtered: bool = False) -> DataFrame:
-    """a, b (a < b), pass (the first that found the pair). Blocks within the limit: all pairs of the block, at most its square; larger
-    ones: each record with the next ``ahead`` in the order of the names, by joining runs of ranks with themselves and the next.
+def candidates(blocks: DataFrame, limit: int = MAX_BLOCK, ahead: int | None = None, filtered: bool = False) -> DataFrame:
+    """a, b (a < b), pass (the first that found the pair): all pairs of every block. A block over the limit is dealt into parts of about
+    that size, and a task compares two parts, so that no hot block ends in one task; the work still grows with the block's square.
 
-    filtered: only pairs with the same numbers in their names that are plausible; the filters run within the join, before pairs are shuffled.
+    ahead: in blocks over the limit each record meets only the next ``ahead`` in the order of the names instead, by joining runs of
+    ranks with themselves and the next. filtered: only pairs with the same numbers in their names that are plausible; the filters run
+    within the join, before pairs are shuffled.
     """
     sizes = blocks.groupBy("pass", "block").agg(F.count(F.lit(1)).alias("n"))
     sized = blocks.join(sizes, ["pass", "block"])
@@ -119,10 +136,18 @@ def candidates(blocks: DataFrame, limit: int = MAX_BLOCK, ahead: int = LOOK_AHEA
     keep = plausible(F.col("f"), F.col("g")) if filtered else F.lit(True)
     small = sized.where(F.col("n").between(2, limit)).select("pass", "block", "k", "id", "f")
     pairs = small.withColumnRenamed("id", "a").join(small.toDF("pass", "block", "k", "b", "g"), ["pass", "block", "k"]).where("a < b").where(keep).select("a", "b", "pass")
-    ranked = sized.where(F.col("n") > limit).withColumn("rn", F.row_number().over(Window.partitionBy("pass", "block").orderBy("nn", "id")) - 1)
-    left = ranked.select("pass", "block", "k", "id", "f", "rn", F.explode(F.array(F.floor(F.col("rn") / ahead), F.floor(F.col("rn") / ahead) + 1)).alias("run"))
-    right = ranked.select("pass", "block", "k", F.col("id").alias("id2"), F.col("f").alias("g"), F.col("rn").alias("rn2"), F.floor(F.col("rn") / ahead).alias("run"))
-    near = left.join(right, ["pass", "block", "k", "run"]).where((F.col("rn2") > F.col("rn")) & (F.col("rn2") <= F.col("rn") + ahead)).where(keep)
+    large = sized.where(F.col("n") > limit)
+    if ahead is None:
+        parts = F.ceil(F.col("n") / limit).cast("int")
+        dealt = large.select("pass", "block", "k", "id", "f", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+        left = dealt.select("pass", "block", "k", "id", "f", F.col("part").alias("p"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"))
+        right = dealt.select("pass", "block", "k", F.col("id").alias("id2"), F.col("f").alias("g"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"))
+        near = left.join(right, ["pass", "block", "k", "p", "q"]).where("p < q or id < id2").where(keep)
+    else:
+        ranked = large.withColumn("rn", F.row_number().over(Window.partitionBy("pass", "block").orderBy("nn", "id")) - 1)
+        left = ranked.select("pass", "block", "k", "id", "f", "rn", F.explode(F.array(F.floor(F.col("rn") / ahead), F.floor(F.col("rn") / ahead) + 1)).alias("run"))
+        right = ranked.select("pass", "block", "k", F.col("id").alias("id2"), F.col("f").alias("g"), F.col("rn").alias("rn2"), F.floor(F.col("rn") / ahead).alias("run"))
+        near = left.join(right, ["pass", "block", "k", "run"]).where((F.col("rn2") > F.col("rn")) & (F.col("rn2") <= F.col("rn") + ahead)).where(keep)
     near = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "pass")
     return pairs.unionByName(near).groupBy("a", "b").agg(F.min("pass").alias("pass"))
 
