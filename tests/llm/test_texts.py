@@ -200,3 +200,10 @@ def test_garbled_forms_repair_to_the_word():
         for form in mojibake.garble(word):
             assert form != word
     assert mojibake.lossy("Müß") == "M??"
+
+
+def test_short_words_are_known_words_too(spark):
+    values = [f"São {i}" for i in range(25)] + [f"nº {i}" for i in range(9)] + [f"Zé {c}" for c in "AB"] + [f"ZÚ {c}" for c in "CDEFG"] + ["SÒo Z", "n§ 57"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    got = {r["value"]: (r["restored"], r["outcome"]) for r in mojibake.damaged_values(df, "value", Stage(spark, "m")).collect()}
+    assert got == {"SÒo Z": ("São Z", "restored"), "n§ 57": ("nº 57", "restored")}

@@ -27,6 +27,9 @@ SOUND_SIGNS = frozenset("°ºª™®©²³§½¼¾«»€£’‘“”–—…
 LOST = "�"
 #: A token that ends in a question mark is sound if it occurs in this many different values.
 SOUND_COUNT = 3
+#: A token under 4 characters that looks sound is taken for a garbled word only if that word is in so many times its values: short
+#: sound words are often garbled forms of each other (Zé and ZÚ).
+SHORT_FACTOR = 20
 
 
 def _chars(page: str) -> list[str]:
@@ -156,7 +159,7 @@ def _judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def _forms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield pd.Series([garble(x) if len(x) >= 4 else [] for x in s], index=s.index, dtype=object)
+        yield pd.Series([garble(x) for x in s], index=s.index, dtype=object)
 
 
 def _questions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -170,7 +173,7 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
     judged = tokens.select("token", "n", judge("token").alias("j")).select("token", "n", "j.fixed", "j.clean")
     clean = judged.where("clean").select(F.col("token").alias("word"), F.col("n").alias("words"))
     table = clean.select("word", "words", F.explode(forms("word")).alias("token")).groupBy("token").agg(F.max(F.struct("words", "word")).alias("w"))
-    by_word = judged.join(table, "token").where("w.words > n or not clean").select("token", F.col("w.word").alias("known"))
+    by_word = judged.join(table, "token").where(f"w.words > if(length(token) < 4, {SHORT_FACTOR}, 1) * n or not clean").select("token", F.col("w.word").alias("known"))
     restored = judged.where("fixed is not null").select("token", "fixed").join(by_word, "token", "full_outer")
     asked = judged.where("instr(token, '?') > 0").select("token", "n")
     lost_forms = clean.select(questions("word").alias("token")).distinct().withColumn("form", F.lit(True))
