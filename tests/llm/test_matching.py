@@ -99,3 +99,21 @@ def test_places(spark):
 def test_no_places(spark):
     assert pairs(spark, []) == set()
     assert pairs(spark, [("a", None, None, None), ("b", "x", "y", "z")]) == set()
+
+
+def test_single_near_names_stay_apart(spark):
+    rows = [("a", "5 Hansen Road", "Kinziafeld", "12345"), ("b", "5 Jansen Road", "Kinziafeld", "12345"), ("c", "9 Marienberg Lane", "Kinziafeld", "12345"), ("d", "9 Marienburg Lane", "Kinziafeld", "12345")]
+    assert pairs(spark, rows) == set()
+
+
+def test_kinds_outside_the_list_are_mined(spark):
+    names = [a + b for a in ("Grol", "Semin", "Vonbra", "Tixu", "Palmo") for b in ("kles", "dalor", "ckel", "mefi", "tanu", "rizo", "whek", "supo")]
+    rows = [(f"a{i:02}", f"{i + 1} {n} utca", "Kinziafeld", "12345") for i, n in enumerate(names)] + [(f"b{i:02}", f"{i + 1} {n} u.", "Kinziafeld", "12345") for i, n in enumerate(names)]
+    assert pairs(spark, rows) == {(f"a{i:02}", f"b{i:02}") for i in range(len(names))}
+
+
+def test_every_near_lead_is_weighed(spark):
+    """A slip of a common name that is also near another common one goes to the nearer; names both common stay apart."""
+    rows = [(f"l{i:03}", f"{i + 1} Lindenbaum Road", "Kinziafeld", "12345") for i in range(40)] + [(f"m{i:03}", f"{i + 1} Lindernbaum Road", "Kinziafeld", "12345") for i in range(60)]
+    got = pairs(spark, [*rows, ("s", "7 Linxdenbaum Road", "Kinziafeld", "12345")])
+    assert got == {("l006", "s")}

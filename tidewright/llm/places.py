@@ -1,28 +1,36 @@
 """The same postal address written differently.
 
 Addresses are taken apart into town, postal code, house number, street name and street kind. What differs only by habit of writing
-is learned from addresses that agree elsewhere: two addresses with the same town, number and name whose kinds differ give a
-rewrite of an abbreviation to a full kind; towns under the same postal code and street names of the same town that are a slip
-of the keyboard apart give spelling rewrites. Rewrites are kept if they are statistically significant; addresses are normalised
-again with them and matched again until no new rewrite appears. Addresses with the same normal form are one place.
+is learned from addresses that agree elsewhere:
 
-All mining runs on distinct forms with their counts (a place with a third of all customers is one row of them), pairs are found
-by equi-joins on contexts or deletion neighbourhoods, never within a group, and every round's tables are written to the shared folder.
+* kinds of street: words in front or behind that go with many names, beside a list of usual ones; an abbreviation stands for a kind
+  if the two meet under the same town and name more often than by chance (likelihood ratio);
+* spellings: towns under one postal code, towns at large, and street names of one town and kind that are a few edits apart. A pair
+  is a rewrite only on evidence: the commoner word dominates significantly, or so few unrelated words are near each other in this
+  table that chance hardly explains the pair (see ``spelling_rewrites``).
+
+Addresses are normalised with what was found, missing kinds and towns filled in, and everything is mined again on the normalised
+names until a round finds no new rewrite. Addresses with the same normal form are one place.
+
+Mining runs on dictionaries: (town, code), (town, street words), (scope, name), each with its count, so a place with a third of all
+customers is one entry. Near words meet through deletion neighbourhoods, as hashes. Each round's tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.canon import _variants, edits
+from tidewright.llm.canon import edits
 
-#: Full words for kinds of street (folded); those of the second line are also written in one word with the name.
+#: Full words for kinds of street (folded); those of the second line are also written in one word with the name. More
+#: kinds are mined.
 KINDS = (
     "street road lane avenue boulevard drive court place rue chemin avenida calle plaza rua alameda travessa corso via piazza ulice namesti ulica plac aleja square terrace quai viale".split()
 )
@@ -33,20 +41,34 @@ DETAILS = frozenset("floor og eg ug unit dock hinterhaus vorderhaus rear entranc
 #: Words that set off parts of a town.
 PARTS = frozenset("nord sud ost west zentrum centre center centro north south east mitte".split())
 MIN_SUPPORT = 3
+#: A word goes with so many different names before it counts as a kind of street, and leads in so large a share of its pairs.
+KIND_NAMES, KIND_SHARE = 20, 0.9
 #: Chi-square with one degree of freedom at 0.001.
 SIGNIFICANT = 10.83
-MAX_ROUNDS = 6
+#: Expected number of unrelated near words up to which a near word is taken for a slip.
+CHANCE = 0.05
+#: A word with more than this share of the two is no slip of the other (if significant).
+SLIP_SHARE = 0.15
+#: Rounds after which something must be wrong: each one removes words, so the mining ends long before.
+MAX_ROUNDS = 50
 #: A postal code in front of a town: a word with a digit, perhaps in two parts.
-_CODE = r"((?:[a-z]{1,3}-)?(?=[a-z]{0,2}\d)[a-z0-9]{1,7}(?:-\d{2,4}(?![a-z0-9]))?(?:\s(?:(?=[a-z]{0,2}\d)[a-z0-9]{2,4}|[a-z]{2})(?=\s))?)\s+(?=[a-z�?])"
+_CODE = re.compile(r"((?:[a-z]{1,3}-)?(?=[a-z]{0,2}\d)[a-z0-9]{1,7}(?:-\d{2,4}(?![a-z0-9]))?(?:\s(?:(?=[a-z]{0,2}\d)[a-z0-9]{2,4}|[a-z]{2})(?=\s))?)\s+(?=[a-z�?])")
+_LEADING_CODE = re.compile(r"\s*" + _CODE.pattern)
 _GONE = "[�?]"
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+_LETTERS = str.maketrans({"º": "°", "ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d"})
+_NUMBER_SIGN = re.compile(r"\b(?:no|nr|n°|n\?|n�)\.?\s*(?=\d)|\bn\s*[░║]\s*(?=\d)")
+_NUMBER = re.compile(r"(\d+)(?:\s?([a-z])\s*$|([a-z])(?![a-z.]))?")
+_INNER_DOT, _DIGITS, _NO_WORD, _WORDS = re.compile(r"(?<=[a-z])\.(?=[a-z])"), re.compile(r"\d+"), re.compile(r"[^a-z�?.]+"), re.compile("[a-z]+")
 
 
 def fold(text: str | None) -> str:
     if not text:
         return ""
-    low = text.lower().replace("º", "°").replace("ß", "ss").replace("ł", "l").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("đ", "d").replace("ð", "d")
-    low = re.sub("��+", "�", low)
-    return "".join(ch for ch in unicodedata.normalize("NFD", low) if not unicodedata.combining(ch))
+    low = text.lower()
+    if low.isascii():
+        return low
+    return _MARKS.sub("", unicodedata.normalize("NFD", re.sub("��+", "�", low.translate(_LETTERS))))
 
 
 def _wild(token: str, words) -> str | None:
@@ -61,6 +83,7 @@ def spelled(word: str) -> str:
     return w.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
+@functools.lru_cache(100_000)
 def postal(text: str | None) -> str:
     """Letters and digits of a code, without country prefix, spreadsheet decimals and leading zeros; '' if it has no digit."""
     t = re.sub(r"\.0+$", "", fold(text).strip())
@@ -69,11 +92,12 @@ def postal(text: str | None) -> str:
     return t.lstrip("0") if re.search(r"\d", t) else ""
 
 
+@functools.lru_cache(100_000)
 def town(text: str | None) -> tuple[str, str]:
     """(folded town, postal code in front of it); parts of towns and district numbers are left out."""
     t = re.sub(r"\(.*?\)|/.*$", " ", fold(text))
     code = ""
-    m = re.match(r"\s*" + _CODE, t)
+    m = _LEADING_CODE.match(t)
     if m and re.search(r"[a-z�]{3}", t[m.end() :]):
         code, t = postal(m[1]), t[m.end() :]
     words = [w for w in re.split(r"[^a-z�?]+", t) if w]
@@ -83,8 +107,7 @@ def town(text: str | None) -> tuple[str, str]:
 
 
 def _detail(segment: str) -> bool:
-    words = re.findall(r"[a-z]+", segment)
-    return any(w in DETAILS for w in words) or segment.strip().startswith("c/o")
+    return any(w in DETAILS for w in _WORDS.findall(segment)) or segment.startswith("c/o")
 
 
 def take_apart(text: str | None) -> tuple[str, str, str, str] | None:
@@ -94,20 +117,21 @@ def take_apart(text: str | None) -> tuple[str, str, str, str] | None:
     for i, s in enumerate(segments):
         if not s or len(segments) > 1 and _detail(s):
             continue
-        m = re.match(_CODE, s)
-        if i and m and re.search(r"[a-z�?]{3}", s[m.end() :]) and not re.fullmatch(r"\d{1,3}[a-z]?", m[1]):
+        m = _CODE.match(s) if i else None
+        if m and re.search(r"[a-z�?]{3}", s[m.end() :]) and not re.fullmatch(r"\d{1,3}[a-z]?", m[1]):
             place, code = town(s)
             continue
-        main.append(re.sub(r"(?<=[a-z])\.(?=[a-z])", "", s))
+        main.append(_INNER_DOT.sub("", s) if "." in s else s)
     number, rest = "", []
     for s in main:
-        s = re.sub(r"\b(?:no|nr|n°|n\?|n�)\.?\s*(?=\d)|\bn\s*[░║]\s*(?=\d)", " ", s)
-        m = re.search(r"(\d+)(?:\s?([a-z])\s*$|([a-z])(?![a-z.]))?", s)
-        if m and not number:
+        if "n" in s:
+            s = _NUMBER_SIGN.sub(" ", s)
+        m = None if number else _NUMBER.search(s)
+        if m:
             number = m[1].lstrip("0") + (m[2] or m[3] or "")
             s = s[: m.start()] + " " + s[m.end() :]
-        rest.append(re.sub(r"\d+", " ", s))
-    tokens = [w for w in re.split(r"[^a-z�?.]+", " ".join(rest)) if w.strip(".")]
+        rest.append(_DIGITS.sub(" ", s))
+    tokens = [w for w in _NO_WORD.split(" ".join(rest)) if w.strip(".")]
     return (number, " ".join(tokens), place, code) if tokens and number else None
 
 
@@ -117,7 +141,7 @@ def subsequence(short: str, full: str) -> bool:
     return short[:1] == full[:1] and len(short) < len(full) and all(ch in it for ch in short)
 
 
-def splits(tokens: list[str], known: frozenset[str]) -> list[tuple[str, str]]:
+def splits(tokens: list[str], known: frozenset[str] | set[str]) -> list[tuple[str, str]]:
     """Ways to read tokens as (name, kind): a token on its own, or the end of the only token (one letter only before a dot)."""
     out = []
     bare = [t.strip(".") for t in tokens]
@@ -131,23 +155,27 @@ def splits(tokens: list[str], known: frozenset[str]) -> list[tuple[str, str]]:
     return [(n, k) for n, k in out if len(n) >= 3]
 
 
-def read_street(tokens: list[str], short: dict[str, list[str]], common: dict[str, float]) -> tuple[str, str]:
-    """(name, kind) with the mined abbreviations; common: how usual each kind is in the town; kind '' if none is found."""
+def read_street(tokens: list[str], kinds: set[str] | frozenset[str], short: dict[str, list[str]], common: dict[str, float]) -> tuple[str, str]:
+    """(name, kind) of a street. kinds and short: which of its words and endings are kinds, or abbreviations of which; common: how
+    usual each kind is in the town. kind is '' if none is found."""
+    known = kinds | ALL_KINDS
 
     def expand(t: str) -> str:
-        if t in ALL_KINDS:
-            return t
-        return max(short.get(t, [""]), key=lambda k: (common.get(k, 0.0), k))
+        if t in short:
+            return max([*short[t], *([t] if t in ALL_KINDS else [])], key=lambda k: (common.get(k, 0.0), k))
+        return t if t in known else ""
 
     dotted = tokens[-1].endswith(".")
     tokens = [t.strip(".") for t in tokens]
     if any(ch in t for t in tokens for ch in "�?"):
-        tokens = [_wild(t, ALL_KINDS) or (_wild(t, short) if len(t) < 5 else None) or t if re.search(_GONE, t) else t for t in tokens]
+        usual = ALL_KINDS | set(common)
+        tokens = [_wild(t, usual) or t if re.search(_GONE, t) else t for t in tokens]
+        known = known | usual
     if len(tokens) > 1:
-        whole = [i for i, t in enumerate(tokens) if t in ALL_KINDS] or [i for i, t in enumerate(tokens) if t in short]
+        whole = [i for i, t in enumerate(tokens) if t in known and t not in short] or [i for i, t in enumerate(tokens) if t in known] or [i for i, t in enumerate(tokens) if t in short]
         near = {}
         if not whole:
-            near = {i: [k for k in sorted(ALL_KINDS) if common.get(k) and abs(len(t) - len(k)) <= 1 and _close(t, k)] for i, t in enumerate(tokens) if len(t) >= 4}
+            near = {i: [k for k in sorted(common) if len(k) >= 3 and abs(len(t) - len(k)) <= 1 and _close(t, k)] for i, t in enumerate(tokens) if len(t) >= 4}
             whole = [i for i, ks in near.items() if ks]
         if whole:
             i = whole[-1] if tokens[whole[-1]] in JOINED else whole[0]
@@ -159,7 +187,7 @@ def read_street(tokens: list[str], short: dict[str, list[str]], common: dict[str
             return spelled(t[:n]), t[n:]
     for n in range(4, len(t)):
         tail = t[n:]
-        if re.search(_GONE, tail) and len(tail) > 2 and (k := _wild(tail, JOINED)):
+        if len(tail) > 2 and re.search(_GONE, tail) and (k := _wild(tail, JOINED)):
             return spelled(t[:n]), k
         ends = [k for k in short.get(tail, []) if k in JOINED]
         if ends and (len(tail) > 1 or dotted):
@@ -184,39 +212,31 @@ def _parsed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.DataFrame(out, columns=["number", "tokens", "town", "code"])
 
 
-def _split_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield pd.Series([[{"name": n, "kind": k} for n, k in splits(x.split(" "), ALL_KINDS)] for x in s], index=s.index, dtype=object)
-
-
-def _limit(c):
-    return F.when(F.length(c) < 5, 0).when(F.length(c) < 9, 1).otherwise(2)
+def _split_with(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for tokens, kinds in batches:
+        yield pd.Series([[{"name": n, "kind": k} for n, k in splits(x.split(" "), ALL_KINDS.union(ks if ks is not None else ()))] for x, ks in zip(tokens, kinds)], index=tokens.index, dtype=object)
 
 
-def near_words(forms: DataFrame) -> DataFrame:
-    """forms (scope, word, n): pairs (scope, word, lead, d) of a word and a commoner one (of ties the smaller) a few edits away.
+def _read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for tokens, kinds, short, common in batches:
+        out = []
+        for t, ks, pairs, usual in zip(tokens, kinds, short, common):
+            table: dict[str, list[str]] = {}
+            for p in pairs if pairs is not None else ():
+                table.setdefault(p["short"], []).append(p["kind"])
+            out.append(read_street(t.split(" "), set(ks) if ks is not None else set(), table, dict(usual) if usual is not None else {}))
+        yield pd.DataFrame(out, columns=["name", "kind"])
 
-    Words meet through their deletion neighbourhoods. Of each neighbourhood only the commonest word is a lead, so the pairs are at most
-    as many as the neighbourhoods' entries, however many slips a common word has.
-    """
-    variants, distance = F.pandas_udf("array<string>")(_variants), F.pandas_udf("int")(_apart)
-    spread = forms.where("length(word) >= 5").select("scope", "word", F.struct(-F.col("n"), "word").alias("r"), F.explode(variants("word", F.lit(2))).alias("v"))
-    lead = F.min("r").over(Window.partitionBy("scope", "v"))["word"]
-    near = spread.select("scope", "word", lead.alias("lead")).where("word <> lead").distinct()
-    return near.withColumn("d", distance("word", "lead")).where(F.col("d") <= _limit(F.col("lead")))
 
+def _apart(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Edits between two words; a lost character is no edit if just that character is missing."""
+    for a, b in batches:
+        yield pd.Series([0 if re.search(_GONE, x) and _wild(x, [y]) else edits(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
 
-def spelling_rewrites(near: DataFrame, counts: DataFrame) -> DataFrame:
-    """near (scope, word, lead, d), counts (scope, word, n): rewrites (scope, word, next) to the nearest, then commonest word.
 
-    A word is rewritten only to one that is commoner by more than chance: if slips make at most 15 of 100 occurrences of a word,
-    the slip's share of the two must not exceed that significantly (chi-square of the excess), and both can't be frequent.
-    """
-    known = near.join(counts, ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m > n or (m = n and lead < word)")
-    total = F.col("n") + F.col("m")
-    excess = F.greatest(F.col("n") - total * 0.15, F.lit(0.0))
-    good = known.where(excess * excess / (total * 0.15 * 0.85) < SIGNIFICANT)
-    return good.groupBy("scope", "word").agg(F.max(F.struct(-F.col("d"), "m", "lead")).alias("b")).select("scope", "word", F.col("b.lead").alias("next"))
+def _abbreviates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([len(x.split()) == len(y.split()) and all(v == w or subsequence(v, w) for v, w in zip(x.split(), y.split())) for x, y in zip(a, b)], index=a.index)
 
 
 def _spelled(c):
@@ -226,128 +246,301 @@ def _spelled(c):
     return out
 
 
-def settle(forms: DataFrame, stage, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Mines and applies spelling rewrites until no new one appears; gives (scope, word, lead) for every word of forms (scope, word, n).
+# ---- near words
 
-    Which words are near each other is found once; each round weighs them anew by the counts after the rewrites so far.
-    """
-    mapping = stage.write(forms.select("scope", "word", F.col("word").alias("lead"), "n"), "settled")
-    near = stage.write(near_words(mapping), "near")
-    for _ in range(rounds):
-        current = mapping.groupBy("scope", F.col("lead").alias("word")).agg(F.sum("n").alias("n"))
-        found = stage.write(spelling_rewrites(near, current).withColumnRenamed("word", "lead"), "rewrites")
-        if found.isEmpty():
-            break
-        new = stage.write(mapping.join(found, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead"), "n"), "settled")
-        stage.drop(mapping, found)
-        mapping = new
-    return mapping.select("scope", "word", "lead")
 
+def _limit(c):
+    return F.when(F.length(c) < 4, 0).when(F.length(c) < 9, 1).otherwise(2)
 
-def _apart(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Edits between two words; a lost character is no edit if just that character is missing."""
-    for a, b in batches:
-        yield pd.Series([0 if re.search(_GONE, x) and _wild(x, [y]) else edits(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
 
+def _less(word):
+    """The word without each of its letters."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
-def _abbreviates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([len(x.split()) == len(y.split()) and all(v == w or subsequence(v, w) for v, w in zip(x.split(), y.split())) for x, y in zip(a, b)], index=a.index)
+
+def _neighbourhood(scope, word, two):
+    """Hashes of (scope, word less some letters): up to two letters where ``two`` holds, else one."""
+    once = F.array_distinct(_less(word))
+    forms = F.concat(F.array(word), once, F.when(two, F.flatten(F.transform(once, _less))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.transform(forms, lambda v: F.xxhash64(scope, v)))
+
+
+def near_words(words: DataFrame, leads: DataFrame) -> DataFrame:
+    """words, leads (scope, word): pairs (scope, word, lead, d) of different words of one scope, d at most the edits that the lead's
+    length allows (none under 4 letters, one under 9, else two). Complete: words so near share a form less d letters each."""
+    one = words.where("length(word) >= 3").select("scope", "word", F.explode(_neighbourhood(F.col("scope"), F.col("word"), F.length("word") >= 7)).alias("h"))
+    two = leads.where("length(word) >= 4").select(F.col("word").alias("lead"), F.explode(_neighbourhood(F.col("scope"), F.col("word"), F.length("word") >= 9)).alias("h"), F.col("scope").alias("s"))
+    met = one.join(two, "h").where("word <> lead and scope = s").select("scope", "word", "lead").distinct()
+    rough = F.levenshtein("word", "lead")
+    gone = F.col("word").rlike(_GONE)
+    met = met.withColumn("rough", rough).where(gone | (F.col("rough") <= 2 * _limit(F.col("lead"))))
+    exact = F.pandas_udf("int")(_apart)
+    sure = met.where(~gone & (F.col("rough") <= 1)).withColumn("d", F.col("rough"))
+    open_ = met.where(gone | (F.col("rough") > 1)).withColumn("d", exact("word", "lead"))
+    return sure.unionByName(open_).where(F.col("d") <= _limit(F.col("lead"))).select("scope", "word", "lead", "d")
+
+
+def near_pairs(forms: DataFrame, stage) -> DataFrame:
+    """forms (scope, word, n, words and leads boolean: which may be rewritten, and which be leads): near pairs, in two parts so that the many slips of a common word aren't paired with each
+    other: every word with every established lead (MIN_SUPPORT and more), then the words near none of those with each other. A word
+    with an established lead never needs a rarer one."""
+    first = stage.write(near_words(forms.where("words"), forms.where("leads").where(F.col("n") >= MIN_SUPPORT)), "near")
+    rest = forms.join(first.select("scope", "word").distinct(), ["scope", "word"], "left_anti").where(F.col("n") < MIN_SUPPORT)
+    single = near_words(rest.where("words"), rest.where("leads"))
+    return stage.write(first.unionByName(single), "pairs")
+
+
+def _length_class(c):
+    return F.when(F.length(c) < 6, 0).when(F.length(c) < 9, 1).otherwise(2)
+
+
+def _stands(n, m):
+    """Whether a word with n of n + m occurrences is more than the other's slip."""
+    total = n + m
+    excess = F.greatest(n - total * SLIP_SHARE, F.lit(0.0))
+    return excess * excess / (total * SLIP_SHARE * (1 - SLIP_SHARE)) >= SIGNIFICANT
+
+
+def chances(counts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """counts (scope, word, n): how many words a scope has, and established ones (all, some); by class of length, how many pairs of
+    established words of one scope there are."""
+    frequent = F.col("n") >= MIN_SUPPORT
+    sizes = counts.groupBy("scope").agg(F.count(F.lit(1)).alias("all"), F.sum(frequent.cast("bigint")).alias("some"), *[F.sum((frequent & (_length_class(F.col("word")) == c)).cast("bigint")).alias(f"k{c}") for c in (0, 1, 2)])
+    tried = sizes.agg(*[F.sum(F.col(f"k{c}") * (F.col("some") - 1) / 2).alias(f"k{c}") for c in (0, 1, 2)]).first()
+    return sizes.select("scope", "all", "some"), {c: int(tried[c] or 0) for c in (0, 1, 2)}
+
+
+def spelling_rewrites(near: DataFrame, counts: DataFrame, sizes: DataFrame, tried: dict[int, int]) -> DataFrame:
+    """near (scope, word, lead, d), counts (scope, word, n), ``chances`` of the words: rewrites (scope, word, next) to the nearest, then commonest, then smallest word.
+
+    A rewrite needs evidence. (a) The lead is commoner (of ties the smaller word), and the word is not too frequent to be its slip.
+    (b) Either the lead dominates: the likelihood ratio of the two counts against equal shares is significant. Or chance does not
+    explain the pair: among all pairs of established words of one scope (by length of the lead) the share of near ones that both
+    stand, counting one more than was seen, times the number of possible leads in the scope, gives at most CHANCE unrelated words
+    near this one. So two words that occur once each stay apart in a table that has not shown near names to be slips.
+    """
+    known = near.join(counts, ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m > n or (m = n and lead < word)")
+    known = known.withColumn("c", _length_class(F.col("lead"))).withColumn("stands", _stands(F.col("n"), F.col("m")))
+    met = {r["c"]: r["k"] for r in known.where(F.col("stands") & (F.col("n") >= MIN_SUPPORT)).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
+    rate = F.lit(1.0)
+    for c in (0, 1, 2):
+        rate = F.when(F.col("c") == c, F.lit((met.get(c, 0) + 1) / (tried.get(c, 0) + 1))).otherwise(rate)
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    ratio = 2 * (m * F.log(2 * m / (n + m)) + n * F.log(2 * n / (n + m)))
+    leads = F.when(F.col("m") >= MIN_SUPPORT, F.col("some")).otherwise(F.col("all"))
+    good = known.where("not stands").join(sizes, "scope").where((ratio > SIGNIFICANT) | (leads * rate <= CHANCE))
+    return good.groupBy("scope", "word").agg(F.min(F.struct("d", -F.col("m"), "lead")).alias("b")).select("scope", "word", F.col("b.lead").alias("next"))
+
+
+def settle(forms: DataFrame, stage) -> DataFrame:
+    """Mines and applies spelling rewrites until no new one appears; gives (scope, word, lead) for every rewritten word of forms
+    (scope, word, n, perhaps words and leads: whether it may be rewritten, and be a lead).
+
+    Which words are near each other is found once; each round weighs them anew by the counts after the rewrites so far. Every round
+    removes at least one word, so it ends.
+    """
+    for c in ("words", "leads"):
+        if c not in forms.columns:
+            forms = forms.withColumn(c, F.lit(True))
+    forms = stage.write(forms.select("scope", "word", "n", "words", "leads"), "forms")
+    near = near_pairs(forms, stage)
+    counts, mapping = forms.select("scope", "word", "n"), None
+    sizes, tried = chances(counts)
+    sizes = stage.write(sizes, "sizes")
+    for _ in range(MAX_ROUNDS):
+        found = stage.write(spelling_rewrites(near, counts, sizes, tried), "rewrites")
+        if found.isEmpty():
+            return mapping if mapping is not None else found.withColumnRenamed("next", "lead")
+        step = found.withColumnRenamed("next", "lead")
+        if mapping is not None:
+            onward = found.select("scope", F.col("word").alias("lead"), "next")
+            step = mapping.join(onward, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead")).unionByName(step.join(mapping, ["scope", "word"], "left_anti"))
+        mapping = stage.write(step, "settled")
+        counts = stage.write(counts.join(found, ["scope", "word"], "left").groupBy("scope", F.coalesce("next", "word").alias("word")).agg(F.sum("n").alias("n")), "counts")
+    raise RuntimeError(f"spellings still change after {MAX_ROUNDS} rounds")
+
+
+# ---- towns
 
 
 def town_rewrites(towns: DataFrame) -> DataFrame:
-    """towns (town, n): rewrites (town, lead) of towns of several words to the commonest one with the same last word and the same
-    initials, of which the other words are abbreviated."""
+    """towns (town, n): rewrites (town, lead) of towns of several words to the commonest commoner one with the same last word and the
+    same initials, of which the other words are abbreviated."""
     short = F.pandas_udf("boolean")(_abbreviates)
-    group = F.array_join(F.transform(F.split("town", " "), lambda w, i: F.when(i < F.size(F.split("town", " ")) - 1, F.left(w, F.lit(1))).otherwise(w)), " ")
+    words = F.split("town", " ")
+    group = F.array_join(F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, F.left(w, F.lit(1))).otherwise(w)), " ")
     parts = towns.where("instr(town, ' ') > 0").select("town", "n", group.alias("g"))
-    leads = parts.groupBy("g").agg(F.max(F.struct("n", "town")).alias("m")).select("g", F.col("m.town").alias("lead"))
-    return parts.join(leads, "g").where("town <> lead").where(short("town", "lead")).select("town", "lead")
+    pairs = parts.join(parts.select("g", F.col("town").alias("lead"), F.col("n").alias("m")), "g").where("length(town) < length(lead) and m >= n").where(short("town", "lead"))
+    return pairs.groupBy("town").agg(F.max(F.struct("m", "lead")).alias("b")).select("town", F.col("b.lead").alias("lead"))
 
 
-def kind_rewrites(parsed: DataFrame) -> DataFrame:
-    """Abbreviations mined from addresses that agree in town, number and name: (short, kind, n contexts).
+def place_of_towns(towns: DataFrame, stage) -> DataFrame:
+    """towns (town, code, n), either may be '': the place (town, code, place) each stands for; '' if nothing says.
 
-    Significant by the likelihood ratio of meeting in one context against meeting by chance.
-    """
-    split_all = F.pandas_udf("array<struct<name:string,kind:string>>")(_split_all)
-    seen = parsed.select("town", "number", F.explode(split_all("tokens")).alias("s")).select("town", "number", "s.name", "s.kind").distinct()
+    Abbreviated words, spelling within a postal code, spelling at large, then the code's town if it has none."""
+    long = town_rewrites(towns.where("town <> ''").groupBy("town").agg(F.sum("n").alias("n")))
+    at = stage.write(towns.join(long, "town", "left").withColumn("word", _spelled(F.coalesce("lead", "town"))).drop("lead"), "long")
+    local = settle(at.where("word <> '' and code <> ''").groupBy(F.col("code").alias("scope"), "word").agg(F.sum("n").alias("n")), stage)
+    at = at.join(local.select(F.col("scope").alias("code"), "word", "lead"), ["code", "word"], "left").withColumn("word", F.coalesce("lead", "word")).drop("lead")
+    at = stage.write(at, "local")
+    wide = settle(at.where("word <> ''").groupBy(F.lit("").alias("scope"), "word").agg(F.sum("n").alias("n")), stage)
+    at = at.join(wide.select("word", "lead"), "word", "left").withColumn("word", F.coalesce("lead", "word")).drop("lead")
+    shares = at.where("word <> '' and code <> ''").groupBy("code", "word").agg(F.sum("n").alias("n"))
+    of_code = shares.groupBy("code").agg(F.max(F.struct("n", "word")).alias("m"), F.sum("n").alias("t")).where("m.n >= 0.6 * t").select("code", F.col("m.word").alias("home"))
+    at = at.join(of_code, "code", "left")
+    return stage.write(at.select("town", "code", F.when(F.col("word") != "", F.col("word")).otherwise(F.coalesce("home", F.lit(""))).alias("place")), "places")
+
+
+# ---- kinds of street
+
+
+def mined_kinds(streets: DataFrame) -> DataFrame:
+    """streets (tokens): words (kind) in front of or behind KIND_NAMES and more different names, that go with more names than the name
+    goes with words in KIND_SHARE of these pairs."""
+    words = F.split(F.replace("tokens", F.lit("."), F.lit("")), " ")
+    many = streets.select(words.alias("w")).where("size(w) > 1").distinct()
+    ends = many.select(F.inline(F.array(F.struct(F.element_at("w", -1).alias("word"), F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), "").alias("name")), F.struct(F.element_at("w", 1).alias("word"), F.array_join(F.slice("w", F.lit(2), F.size("w") - 1), "").alias("name"))))).distinct()
+    rich = ends.groupBy("word").agg(F.count(F.lit(1)).alias("names"))
+    often = ends.join(rich.where(F.col("names") >= KIND_NAMES), "word").join(rich.select(F.col("word").alias("name"), F.col("names").alias("own")), "name", "left")
+    share = F.avg((F.col("names") > F.coalesce("own", F.lit(0))).cast("double"))
+    return often.where("length(word) >= 3").groupBy(F.col("word").alias("kind")).agg(share.alias("s")).where(F.col("s") >= KIND_SHARE).select("kind")
+
+
+def kind_rewrites(seen: DataFrame, kinds: DataFrame, same_number: float) -> DataFrame:
+    """seen (town, number, name, kind), kinds (kind): abbreviations (short, kind) of kinds, mined from addresses that agree in town,
+    number and name.
+
+    In MIN_SUPPORT contexts and more, and significant by a likelihood ratio: either the two meet in one context more often than the
+    abbreviation meets any kind; or streets of one name agree in house numbers more often than by chance (same_number: that two
+    lines have the same number)."""
     context = ["town", "number", "name"]
-    full = seen.where(F.col("kind").isin(sorted(ALL_KINDS)))
-    short = seen.where(~F.col("kind").isin(sorted(ALL_KINDS)) & (F.length("kind") <= 4)).withColumnRenamed("kind", "short")
-    pairs = short.join(full, context).groupBy("short", "kind").agg(F.count(F.lit(1)).alias("n"))
-    alone = short.join(full.select(*context).distinct(), context, "left_semi").groupBy("short").agg(F.countDistinct(*context).alias("a"))
-    kinds = full.groupBy("kind").agg(F.count(F.lit(1)).alias("b"))
-    total = full.agg(F.count(F.lit(1)).alias("t"))
-    judged = pairs.join(alone, "short").join(kinds, "kind").join(F.broadcast(total), F.lit(True))  # one row
-    expected = F.col("a") * F.col("b") / F.col("t")
-    g2 = 2 * F.col("n") * F.log(F.col("n") / expected)
-    return judged.where((F.col("n") >= MIN_SUPPORT) & (F.col("n") > expected) & (g2 > SIGNIFICANT)).select("short", "kind", "n")
+    full = seen.join(kinds, "kind", "left_semi")
+    short = seen.where((F.length("kind") <= 4) & ~F.col("kind").isin(sorted(ALL_KINDS))).withColumnRenamed("kind", "short")
+    abbreviated = F.pandas_udf("boolean")(_subsequences)
+    met = short.join(full, context).where("short <> kind")
+    pairs = met.groupBy("short", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).where(abbreviated("short", "kind"))
+    alone = short.join(full.select(*context).distinct(), context, "left_semi").groupBy("short").agg(F.count(F.lit(1)).alias("a"))
+    totals = full.groupBy("kind").agg(F.count(F.lit(1)).alias("b"))
+    total = float(max(full.count(), 1))
+    judged = pairs.join(alone, "short").join(totals, "kind")
+    street = ["town", "name"]
+    few = short.groupBy("short", *street).agg(F.count(F.lit(1)).alias("x")).join(full.groupBy("kind", *street).agg(F.count(F.lit(1)).alias("y")), street)
+    judged = judged.join(few.groupBy("short", "kind").agg(F.sum(F.col("x") * F.col("y")).alias("xy")), ["short", "kind"])
+    n = F.col("n")
+
+    def beyond(expected):
+        return (n > expected) & (2 * (n * F.log(n / expected) - (n - expected)) > SIGNIFICANT)
+
+    return judged.where(beyond(F.col("a") * F.col("b") / F.lit(total)) | beyond(F.col("xy") * F.lit(same_number))).select("short", "kind")
+
+
+def _subsequences(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([subsequence(x, y) for x, y in zip(a, b)], index=a.index, dtype=bool)
+
+
+def _pieces(tokens):
+    """Words of a street and endings of the words written as one, without dots."""
+    bare = F.replace(tokens, F.lit("."), F.lit(""))
+    joined = F.replace(bare, F.lit(" "), F.lit(""))
+    ends = F.transform(F.sequence(F.lit(4), F.greatest(F.length(joined), F.lit(4))), lambda i: F.substring(joined, i, F.length(joined)))
+    return F.array_distinct(F.concat(F.split(bare, " "), ends))
+
+
+def read_streets(streets: DataFrame, kinds: DataFrame, short: DataFrame, usual: DataFrame) -> DataFrame:
+    """streets (place, tokens, n) with name and kind. The kinds and abbreviations that concern a street are joined to it, so their
+    number is not limited."""
+    pieces = streets.select("tokens").distinct().select("tokens", F.explode(_pieces(F.col("tokens"))).alias("kind"))
+    own = pieces.join(kinds, "kind").groupBy("tokens").agg(F.collect_set("kind").alias("kinds"))
+    cut = pieces.withColumnRenamed("kind", "short").join(short, "short").groupBy("tokens").agg(F.collect_list(F.struct("short", "kind")).alias("short"))
+    read = F.pandas_udf("name string, kind string")(_read)
+    rows = streets.join(own, "tokens", "left").join(cut, "tokens", "left").join(usual, "place", "left")
+    return rows.withColumn("s", read("tokens", "kinds", "short", "common")).select("place", "tokens", "n", "s.name", "s.kind")
+
+
+# ---- all together
+
+
+def _fill(streets: DataFrame) -> DataFrame:
+    """A missing kind follows if the town has the name with one kind; a missing town if one town only has the street."""
+    single = streets.where("kind <> '' and place <> ''").groupBy("place", "name").agg(F.min("kind").alias("only"), F.max("kind").alias("x")).where("only = x").select("place", "name", "only")
+    filled = streets.join(single, ["place", "name"], "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("only", F.lit("")))).drop("only")
+    home = filled.where("place <> ''").groupBy("name", "kind").agg(F.min("place").alias("home"), F.max("place").alias("x")).where("home = x").select("name", "kind", "home")
+    return filled.join(home, ["name", "kind"], "left").withColumn("at", F.when(F.col("place") != "", F.col("place")).otherwise(F.coalesce("home", F.lit("")))).drop("home")
+
+
+def _spell(streets: DataFrame, stage) -> DataFrame:
+    """streets with their names settled: within town and kind; then names without a kind against all of the town, and names without a
+    town against all of the kind."""
+    scope = F.concat_ws("|", "place", "kind")
+
+    def apply(rows: DataFrame, by, mapping: DataFrame, where) -> DataFrame:
+        found = mapping.select(F.col("scope").alias("_scope"), F.col("word").alias("name"), "lead")
+        return rows.withColumn("_scope", F.when(where, by)).join(found, ["_scope", "name"], "left").withColumn("name", F.coalesce("lead", "name")).drop("_scope", "lead")
+
+    always = (F.col("place") != "") & (F.col("kind") != "")
+    inside = settle(streets.where(always).groupBy(scope.alias("scope"), F.col("name").alias("word")).agg(F.sum("n").alias("n")), stage)
+    streets = stage.write(apply(streets, scope, inside, always), "inside")
+    for part, missing in (("place", "kind"), ("kind", "place")):
+        lacks = (F.col(missing) == "") & (F.col(part) != "")
+        if streets.where(lacks).isEmpty():
+            continue
+        by = [F.col(part).alias("scope"), F.col("name").alias("word")]
+        full = streets.where(always).groupBy(*by).agg(F.sum("n").alias("n")).withColumns({"words": F.lit(False), "leads": F.lit(True)})
+        poor = streets.where(lacks).groupBy(*by).agg(F.sum("n").alias("n")).join(full, ["scope", "word"], "left_anti").withColumns({"words": F.lit(True), "leads": F.lit(part == "place")})
+        mapping = settle(poor.unionByName(full.join(poor.select("scope").distinct(), "scope", "left_semi")), stage)
+        streets = stage.write(apply(streets, F.col(part), mapping, lacks), "spelled")
+    return streets
 
 
 def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: str, stage, repaired: DataFrame | None = None) -> DataFrame:
-    """Columns key, town, name, kind, number: the normal form of each record's address; records without number, name or town are left out.
+    """Columns key, town, name, kind, number: the normal form of each record's address; records without key, number, name or town are
+    left out; repeated rows count once.
 
     repaired (value, restored): street lines whose encoding was put right. A town that is missing follows from the postal code,
     or from the street if only one town has it.
     """
     text = rows.select(F.col(key).alias("key"), F.col(street).alias("street"), F.col(city).alias("city"), F.col(code).alias("code")).where("key is not null and street is not null")
     if repaired is not None:
-        fixed = repaired.select(F.col("value").alias("street"), "restored")
-        text = text.join(fixed, "street", "left").select("key", F.coalesce("restored", "street").alias("street"), "city", "code")
-    text = stage.write(text.distinct(), "text")
+        text = text.join(repaired.select(F.col("value").alias("street"), "restored"), "street", "left").select("key", F.coalesce("restored", "street").alias("street"), "city", "code")
     parse = F.pandas_udf("number string, tokens string, town string, code string")(_parsed)
-    forms = text.groupBy("street", "city", "code").agg(F.countDistinct("key").alias("n"))
-    parsed = stage.write(forms.withColumn("p", parse("street", "city", "code")).select("street", "city", F.col("code").alias("raw"), "n", "p.*"), "parsed")
-
-    # towns: abbreviated words, spelling within a postal code, then the code's town, then spelling at large
-    long = town_rewrites(parsed.where("town <> ''").groupBy("town").agg(F.sum("n").alias("n")))
-    parsed = stage.write(parsed.join(long, "town", "left").withColumn("town", _spelled(F.coalesce("lead", "town"))).drop("lead"), "long")
-    by_code = parsed.where("town <> '' and code <> ''").groupBy(F.col("code").alias("scope"), F.col("town").alias("word")).agg(F.sum("n").alias("n"))
-    local = settle(by_code, stage).select(F.col("scope").alias("code"), F.col("word").alias("town"), F.col("lead").alias("local"))
-    named = parsed.join(local, ["code", "town"], "left").withColumn("place", F.coalesce("local", "town"))
-    large = named.where("place <> ''").groupBy(F.lit("").alias("scope"), F.col("place").alias("word")).agg(F.sum("n").alias("n"))
-    wide = settle(large, stage).select(F.col("word").alias("place"), F.col("lead").alias("wide"))
-    named = named.join(wide, "place", "left").withColumn("place", F.coalesce("wide", "place"))
-    counts = named.where("place <> '' and code <> ''").groupBy("code", "place").agg(F.sum("n").alias("n"))
-    of_code = counts.groupBy("code").agg(F.max(F.struct("n", "place")).alias("m"), F.sum("n").alias("t")).where("m.n >= 0.6 * t").select("code", F.col("m.place").alias("by_code"))
-    towned = stage.write(named.join(of_code, "code", "left").withColumn("place", F.when(F.col("place") != "", F.col("place")).otherwise(F.coalesce("by_code", F.lit("")))).select("street", "city", "raw", "n", "number", "tokens", F.col("place").alias("town")), "towned")
-
-    # kinds of street
-    usable = towned.where("tokens <> ''")
-    short = kind_rewrites(usable.where("town <> ''"))
-    found = [(r["short"], r["kind"]) for r in short.limit(5001).collect()]
-    if len(found) > 5000:
-        raise ValueError("more than 5000 abbreviations of street kinds")
-    table: dict[str, list[str]] = {}
-    for a, k in found:
-        if subsequence(a, k):
-            table.setdefault(a, []).append(k)
-    split_all = F.pandas_udf("array<struct<name:string,kind:string>>")(_split_all)
-    usual = usable.select("town", "n", F.explode(split_all("tokens")).alias("s")).where(F.col("s.kind").isin(sorted(ALL_KINDS))).groupBy("town", F.col("s.kind").alias("kind")).agg(F.sum("n").cast("double").alias("n"))
-    usual = usual.groupBy("town").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("common"))
-
-    def streets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for tokens, common in batches:
-            out = [read_street(t.split(" "), table, dict(c) if c is not None else {}) for t, c in zip(tokens, common)]
-            yield pd.DataFrame(out, columns=["name", "kind"])
-
-    read = F.pandas_udf("name string, kind string")(streets)
-    spread = usable.join(usual, "town", "left").withColumn("s", read("tokens", "common")).select("street", "city", "raw", "n", "number", "town", "s.name", "s.kind")
-    spread = stage.write(spread, "streets")
-
-    # spelling of names, per town and kind; a missing kind follows if the town has the name with one kind
-    scope = F.concat_ws("|", "town", "kind")
-    names = settle(spread.where("town <> ''").groupBy(scope.alias("scope"), F.col("name").alias("word")).agg(F.sum("n").alias("n")), stage)
-    named = spread.withColumn("scope", scope).join(names.select("scope", F.col("word").alias("name"), "lead"), ["scope", "name"], "left").withColumn("name", F.coalesce("lead", "name")).drop("scope", "lead")
-    named = stage.write(named, "named")
-    single = named.where("kind <> '' and town <> ''").groupBy("town", "name").agg(F.min("kind").alias("only"), F.max("kind").alias("x")).where("only = x").select("town", "name", "only")
-    named = named.join(single, ["town", "name"], "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("only", F.lit("")))).drop("only")
-    home = named.where("town <> ''").groupBy("name", "kind").agg(F.min("town").alias("home"), F.max("town").alias("x")).where("home = x").select("name", "kind", "home")
-    named = named.join(home, ["name", "kind"], "left").withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("home", F.lit(""))))
-    done = named.where("town <> '' and name <> ''").select("street", "city", "raw", "town", "name", "kind", "number")
-    keyed = text.alias("t").join(done.alias("d"), F.col("t.street").eqNullSafe(F.col("d.street")) & F.col("t.city").eqNullSafe(F.col("d.city")) & F.col("t.code").eqNullSafe(F.col("d.raw")))
-    return stage.write(keyed.select(F.col("t.key").alias(key), "d.town", "d.name", "d.kind", "d.number").distinct(), "normal")
+    # the number stands out of the words, so what is left of the many lines are few (town, words)
+    parsed = stage.write(text.withColumn("p", parse("street", "city", "code")).select("key", "p.*").distinct(), "parsed")
+    towns = stage.write(parsed.groupBy("town", "code").agg(F.count(F.lit(1)).alias("n")), "towns")
+    places = place_of_towns(towns, stage)
+    lines = parsed.where("tokens <> ''").join(places, ["town", "code"]).groupBy("place", "tokens", "number").agg(F.count(F.lit(1)).alias("n"))
+    lines = stage.write(lines, "lines")
+    streets = stage.write(lines.groupBy("place", "tokens").agg(F.sum("n").alias("n")), "streets")
+
+    spark = rows.sparkSession
+    seeds = spark.createDataFrame([(k,) for k in sorted(ALL_KINDS)], "kind string")
+    kinds = stage.write(seeds.unionByName(mined_kinds(streets)).distinct(), "kinds")
+    split = F.pandas_udf("array<struct<name:string,kind:string>>")(_split_with)
+    own = streets.select("tokens").distinct().select("tokens", F.explode(_pieces(F.col("tokens"))).alias("kind")).join(kinds, "kind").groupBy("tokens").agg(F.collect_set("kind").alias("kinds"))
+    ways = streets.where("place <> ''").select("tokens").distinct().join(own, "tokens", "left").select("tokens", F.explode(split("tokens", "kinds")).alias("s")).select("tokens", "s.name", "s.kind")
+    ways = stage.write(ways.join(kinds.withColumn("full", F.lit(True)), "kind", "left").where(F.col("full") | (F.length("kind") <= 4)), "ways")
+    usual = streets.where("place <> ''").join(ways.where("full"), "tokens").groupBy("place", "kind").agg(F.sum("n").cast("double").alias("n"))
+    usual = stage.write(usual.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("common")), "usual")
+
+    seen = lines.where("place <> ''").join(ways, "tokens").select(F.col("place").alias("town"), "number", "name", "kind").distinct()
+    numbers = lines.groupBy("number").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k")), F.sum("k")).first()
+    same_number = float(numbers[0]) / float(numbers[1]) ** 2 if numbers[1] else 1.0
+    short = stage.write(kind_rewrites(seen, kinds, same_number), "short")
+    for _ in range(MAX_ROUNDS):
+        read = stage.write(read_streets(streets, kinds, short, usual), "read")
+        done = stage.write(_fill(_spell(read, stage)), "filled")
+        # mined again, on the normalised names
+        same = done.where("place <> ''").join(read.select("place", "tokens", F.col("name").alias("was")), ["place", "tokens"]).where("name <> was")
+        names = same.groupBy(F.col("place").alias("town"), F.col("was").alias("name")).agg(F.min("name").alias("now"))
+        again = seen.join(names, ["town", "name"], "left").select("town", "number", F.coalesce("now", "name").alias("name"), "kind").distinct()
+        new = stage.write(kind_rewrites(again, kinds, same_number).unionByName(short).distinct(), "short")
+        if new.join(short, ["short", "kind"], "left_anti").isEmpty():
+            break
+        short = new
+    else:
+        raise RuntimeError(f"abbreviations still change after {MAX_ROUNDS} rounds")
+    normal = parsed.where("tokens <> '' and number <> ''").join(places, ["town", "code"]).join(done.select("place", "tokens", "at", "name", "kind"), ["place", "tokens"]).where("at <> '' and name <> ''")
+    return stage.write(normal.select(F.col("key").alias(key), F.col("at").alias("town"), "name", "kind", "number").distinct(), "normal")
 
 
 def pairs_of_places(normal: DataFrame, key: str, place: list[str]) -> DataFrame:
