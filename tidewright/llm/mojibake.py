@@ -162,15 +162,21 @@ def _forms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([garble(x) for x in s], index=s.index, dtype=object)
 
 
-def _questions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield pd.Series([lossy(x) for x in s], index=s.index, dtype=object)
+def _pairs(c):
+    """Letters outside ASCII with the one before and the one behind them."""
+    padded = F.concat(F.lit("^"), F.lower(c), F.lit("$"))
+    return F.array_distinct(F.concat(F.regexp_extract_all(padded, F.lit(r"(?=(.[^\x00-\x7F])).")), F.regexp_extract_all(padded, F.lit(r"(?=([^\x00-\x7F].))."))))
+
 
+def token_repairs(tokens: DataFrame, stage) -> DataFrame:
+    """tokens: (token, n), n the number of different values that hold it. Gives (token, restored, outcome, basis) for damaged tokens.
 
-def token_repairs(tokens: DataFrame) -> DataFrame:
-    """tokens: (token, n), n the number of different values that hold it. Gives (token, restored, outcome) for damaged tokens."""
-    judge, forms, questions = F.pandas_udf("fixed string, clean boolean")(_judge), F.pandas_udf("array<string>")(_forms), F.pandas_udf("string")(_questions)
-    judged = tokens.select("token", "n", judge("token").alias("j")).select("token", "n", "j.fixed", "j.clean")
+    basis: ``word`` if the restored word occurs clean in the corpus (the hash join with the garbled forms), ``pairs`` if it doesn't but
+    each of its letters outside ASCII does, with both its neighbours, in clean words, ``letters`` if only the character rule speaks for it.
+    """
+    judge, forms = F.pandas_udf("fixed string, clean boolean")(_judge), F.pandas_udf("array<string>")(_forms)
+    questions = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    judged = stage.write(tokens.select("token", "n", judge("token").alias("j")).select("token", "n", "j.fixed", "j.clean"), "judged")
     clean = judged.where("clean").select(F.col("token").alias("word"), F.col("n").alias("words"))
     table = clean.select("word", "words", F.explode(forms("word")).alias("token")).groupBy("token").agg(F.max(F.struct("words", "word")).alias("w"))
     by_word = judged.join(table, "token").where(f"w.words > if(length(token) < 4, {SHORT_FACTOR}, 1) * n or not clean").select("token", F.col("w.word").alias("known"))
@@ -192,15 +198,20 @@ def token_repairs(tokens: DataFrame) -> DataFrame:
         .select("token")
         .unionByName(judged.where(F.instr("token", LOST) > 0).select("token"))
     )
+    sound_pairs = clean.select(F.explode(_pairs(F.col("word"))).alias("pair")).distinct()
+    guessed = restored.where("known is null")
+    strange = guessed.select("token", F.explode(_pairs(F.col("fixed"))).alias("pair")).join(sound_pairs, "pair", "left_anti").select("token").distinct().withColumn("strange", F.lit(True))
+    basis = F.when(F.col("known").isNotNull(), "word").when(F.col("strange").isNull(), "pairs").otherwise("letters")
     return (
-        restored.select("token", F.coalesce("known", "fixed").alias("restored"), F.lit("restored").alias("outcome"))
+        restored.join(strange, "token", "left")
+        .select("token", F.coalesce("known", "fixed").alias("restored"), F.lit("restored").alias("outcome"), basis.alias("basis"))
         .join(gone, "token", "left_anti")
-        .unionByName(gone.distinct().select("token", F.lit(None).cast("string").alias("restored"), F.lit("lost").alias("outcome")))
+        .unionByName(gone.distinct().select("token", F.lit(None).cast("string").alias("restored"), F.lit("lost").alias("outcome"), F.lit(None).cast("string").alias("basis")))
     )
 
 
 def damaged_values(values: DataFrame, value: str, stage) -> DataFrame:
-    """Columns value, restored, outcome for each different damaged value: ``restored`` with the original text, or ``lost`` (with what
+    """Columns value, restored, outcome, basis (the weakest of its tokens, see ``token_repairs``) for each different damaged value: ``restored`` with the original text, or ``lost`` (with what
     could be put right) if a token's original no longer follows from its characters.
 
     Only values with a character outside ASCII or a question mark are looked at; no other can be damaged. Null, empty and blank
@@ -210,8 +221,8 @@ def damaged_values(values: DataFrame, value: str, stage) -> DataFrame:
     texts = stage.write(texts, "values")
     parts = texts.select("value", F.posexplode(F.split("value", " ")).alias("at", "token"))
     counted = parts.where(F.col("token").rlike(r"[^\x00-\x7F]|[?]")).select("value", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    repairs = stage.write(token_repairs(stage.write(counted, "tokens")), "repairs")
+    repairs = stage.write(token_repairs(counted, stage), "repairs")
     bad = parts.join(repairs, "token")
-    hit = bad.groupBy("value").agg(F.max(F.when(F.col("outcome") == "lost", 1).otherwise(0)).alias("lost"), F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("restored", "token").alias("t")))).alias("new"))
+    hit = bad.groupBy("value").agg(F.max(F.when(F.col("outcome") == "lost", 1).otherwise(0)).alias("lost"), F.min("basis").alias("basis"), F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("restored", "token").alias("t")))).alias("new"))
     pieces = F.transform(F.split("value", " "), lambda t, i: F.coalesce(F.element_at("new", i), t))
-    return hit.select("value", F.array_join(pieces, " ").alias("restored"), F.when(F.col("lost") == 1, "lost").otherwise("restored").alias("outcome"))
+    return hit.select("value", F.array_join(pieces, " ").alias("restored"), F.when(F.col("lost") == 1, "lost").otherwise("restored").alias("outcome"), "basis")

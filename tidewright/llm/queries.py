@@ -81,8 +81,8 @@ def p5_found(spark, sf):
 
 
 def p5_restored(spark, sf):
-    """The damaged values with their original text, as far as it follows."""
-    return _damaged(spark, sf).select("cust_id", "column_name", "value", "restored", "outcome").distinct()
+    """The damaged values with their original text, as far as it follows, and what speaks for it."""
+    return _damaged(spark, sf).select("cust_id", "column_name", "value", "restored", "outcome", "basis").distinct()
 
 
 def _run1(spark, sf):
