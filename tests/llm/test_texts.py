@@ -207,3 +207,12 @@ def test_short_words_are_known_words_too(spark):
     df = spark.createDataFrame([(v,) for v in values], "value string")
     got = {r["value"]: (r["restored"], r["outcome"]) for r in mojibake.damaged_values(df, "value", Stage(spark, "m")).collect()}
     assert got == {"SÒo Z": ("São Z", "restored"), "n§ 57": ("nº 57", "restored")}
+
+
+def test_spans_come_from_located_passages(spark, monkeypatch):
+    """Without the automata's occurrences there is no window to compare."""
+    base = "".join(random.Random(5).choice("abcdefgh ") for _ in range(400))
+    texts = [(1, "x" + base), (2, base + "y")]
+    assert shared(spark, texts, 300) == {(1, 1, 401), (2, 0, 400)}
+    monkeypatch.setattr(spans, "_scan", lambda *a: lambda batches: (b.iloc[:0][["t", "u"]].assign(run=0, h1=None, h2=None) for b in batches))
+    assert shared(spark, texts, 300) == set()

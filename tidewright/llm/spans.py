@@ -1,13 +1,14 @@
 """Long exact spans shared between records.
 
-1. Equal texts are folded into one (a text that occurs under two ids is shared as a whole).
-2. Anchors: of every 101 consecutive 50-character phrases the one with the least hash is kept, which depends on content alone,
-   so a span of 300 characters has at least two anchors and its copies have the same ones. Phrases kept in two different texts
-   are the recurring passages; stretches of a text where they follow one another closely enough to carry a span go on.
-3. The passages of those stretches are compiled into sharded Aho-Corasick automata (bounded nodes per shard). Stretches stream
-   through the shards of their own passages, which locates and confirms every occurrence character by character.
-4. Exact check: every 300-character window of the confirmed stretches is hashed to 64 bits, and windows that occur in two
-   different texts cover the shared positions.
+1. Equal texts are folded into one by a 128-bit digest, of which only the ids are grouped (a text that occurs under two ids is shared
+   as a whole).
+2. Anchors: of every 101 consecutive 180-character phrases the one with the least hash is kept, which depends on content alone,
+   so a span of 300 characters has an anchor in its first 101 places and its copies have the same ones. Phrases kept in two
+   documents are the recurring passages.
+3. The passages are compiled into sharded Aho-Corasick automata (bounded nodes per shard). The stretches of text that hold them
+   stream through the shards of their own passages, which locates every occurrence and compares it character by character.
+4. Only windows of 300 characters around a located passage are candidates. Each is known by two independent 64-bit hashes and belongs
+   to the first passage in it; windows that occur in two documents cover the shared positions.
 
 No step pairs documents: a passage in a third of all documents is a minimum and a maximum per hash, taken with map-side partials,
 and AQE splits the joins back. Nothing but texts' own stretches is ever gathered.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tidewright.session import Stage
 
-PHRASE = 50
+PHRASE = 180
+#: Letters of a passage in the automaton; the rest is compared where they occur.
+HEAD = 50
 #: Automaton nodes per shard: about 60 MB in a Python worker.
 SHARD_NODES = 400_000
 #: Characters of stretches that one task scans.
@@ -32,8 +35,7 @@ TASK_CHARS = 8_000_000
 #: Characters of one text that are worked on at a time.
 CHUNK = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -52,15 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(text: str, size: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``size`` code points, by position."""
+def window_hashes(text: str, size: int, base: int = _BASE) -> np.ndarray:
+    """64-bit hashes of all windows of ``size`` code points, by position; another odd base gives an independent hash."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(points)
     if n < size:
         return np.zeros(0, dtype=np.uint64)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_mix(points + np.uint64(_BASE)) * _powers(_BASE, n), out=sums[1:])
-    return _mix((sums[size:] - sums[:-size]) * _powers(_INVERSE, n - size + 1))
+    np.cumsum(_mix(points + np.uint64(base)) * _powers(base, n), out=sums[1:])
+    return _mix((sums[size:] - sums[:-size]) * _powers(pow(base, -1, 2**64), n - size + 1))
 
 
 def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
@@ -101,114 +103,130 @@ def _find_anchors(phrase: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [chunked_anchors(x, phrase, width) for x in b["text"]]
-            yield pd.DataFrame({"t": b["t"], "grams": [x for x, _ in out], "at": [x for _, x in out]})
+            yield pd.DataFrame({"t": b["t"], "u": b["u"], "n": b["n"], "grams": [x for x, _ in out], "at": [x for _, x in out]})
 
     return run
 
 
-def _scan():
-    """Rows sorted by shard, the phrases of a shard first (t null): builds its automaton, then streams the stretches through it."""
+def candidate_runs(piece: str, start: int, places: list[int], located: set[int], size: int, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first position, hashes, second hashes) of the windows whose first passage, of those at ``places`` (sorted), is a located one.
+    piece begins at ``start`` of its text; a window is no candidate if its first passage is ``width`` or more behind its start."""
+    runs, before = [], -1
+    for at in places:
+        low, high = max(before + 1, at - (width - 1), start), min(at, start + len(piece) - size)
+        before = at
+        if at in located and low <= high:
+            runs.append((low, high))
+    out = []
+    for low, high in runs:
+        part = piece[low - start : high - start + size]
+        out.append((low, _signed(window_hashes(part, size)), _signed(window_hashes(part, size, _SECOND))))
+    return out
+
+
+def _scan(size: int, width: int, front: int):
+    """Rows sorted by shard, the passages of a shard first (t null): builds its automaton, then streams the stretches through it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        shard, machine, ready = None, None, False
+        shard, machine, ready, tails = None, None, False, {}
         for b in batches:
-            ts, froms, found = [], [], []
-            for s, t, start, piece in zip(b["shard"], b["t"], b["start"], b["piece"]):
+            out = {"t": [], "u": [], "run": [], "h1": [], "h2": []}
+            for s, head, t, u, start, piece, own, places in zip(b["shard"], b["head"], b["t"], b["u"], b["start"], b["piece"], b["own"], b["places"]):
                 if s != shard:
-                    shard, machine, ready = s, ahocorasick.Automaton(), False
-                if t < 0:
-                    machine.add_word(piece, len(piece))
+                    shard, machine, ready, tails = s, ahocorasick.Automaton(), False, {}
+                if head:
+                    known = tails.setdefault(piece[:front], [])
+                    known.append(piece)
+                    machine.add_word(piece[:front], known)
+                    continue
+                if not len(machine):
                     continue
                 if not ready:
                     machine.make_automaton()
                     ready = True
-                hits = [start + end + 1 - n for end, n in machine.iter(piece)] if len(machine) else []
-                if hits:
-                    ts.append(t)
-                    froms.append(start)
-                    found.append(np.array(hits, dtype=np.int64))
-            if ts:
-                yield pd.DataFrame({"t": ts, "at": found})
-
-    return run
-
-
-def _hash_windows(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"t": b["t"], "start": b["start"], "hashes": [_signed(window_hashes(x, size)) for x in b["piece"]]})
+                wanted, located = set(own), set()
+                for end, known in machine.iter(piece):
+                    at = end + 1 - front
+                    if start + at in wanted and any(piece.startswith(x, at) for x in known):
+                        located.add(start + at)
+                for low, one, two in candidate_runs(piece, start, list(places), located, size, width):
+                    for name, value in zip(out, (t, u, low, one, two)):
+                        out[name].append(value)
+            if out["t"]:
+                yield pd.DataFrame(out)
 
     return run
 
 
-def _chains(hits: DataFrame, texts: DataFrame, size: int, phrase: int, width: int) -> DataFrame:
-    """hits (t, at, ...) with the stretch [start, end) they carry, without hits that can't carry a span of ``size``."""
-    order = Window.partitionBy("t").orderBy("at")
+def _chains(hits: DataFrame, size: int, phrase: int, width: int) -> DataFrame:
+    """hits (t, u, n, at, ...) with the stretch [start, end) they carry, without hits that can't carry a span of ``size``."""
+    order = Window.partitionBy("t", "u").orderBy("at")
     linked = hits.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(order), F.lit(-(10**9))) > width).cast("int"))
     linked = linked.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("t", "chain")
-    spread = linked.withColumns({"lo": F.min("at").over(whole), "hi": F.max("at").over(whole)}).where(F.col("hi") - F.col("lo") + phrase + 2 * width - 2 >= size)
+    whole = Window.partitionBy("t", "u", "chain")
+    spread = linked.withColumns({"lo": F.min("at").over(whole), "hi": F.max("at").over(whole)})
     return (
-        spread.join(texts.select("t", "n"), "t")
-        .withColumns({"start": F.greatest(F.lit(0), F.col("lo") - (width - 1)).cast("bigint"), "end": F.least("n", F.col("hi") + phrase + width - 1).cast("bigint")})
+        spread.withColumns({"start": F.greatest(F.lit(0), F.col("lo") - (width - 1)).cast("bigint"), "end": F.least("n", F.col("hi") + phrase + width - 1).cast("bigint")})
         .where(F.col("end") - F.col("start") >= size)
         .drop("new", "chain", "lo", "hi", "n")
     )
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, stage: Stage, size: int = 300, phrase: int = PHRASE, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def shared_spans(docs: DataFrame, doc_id: str, text: str, stage: Stage, size: int = 300, phrase: int | None = None, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """Columns doc_id, start_pos, end_pos: the longest stretches of positions (code points from 0) that lie in spans of at least
     ``size`` characters occurring in the text of another doc_id.
 
     Null, empty and shorter texts share nothing; repeats inside one text are no case; rows without an id are left out; repeated
-    rows of one id and text count once. An empty table gives no rows.
+    rows of one id and text count once; different texts of one id are looked at one by one. An empty table gives no rows.
     """
     width = size // 3 + 1
-    if phrase + width > size:
+    phrase = phrase or max(1, PHRASE * size // 300)
+    if phrase + width > size + 1:
         raise ValueError("the phrase is too long for this span")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= size))
-    folded = rows.groupBy("text").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    texts = stage.write(folded.select(F.monotonically_increasing_id().alias("t"), "text", F.length("text").alias("n"), "lo", "hi"), "texts")
-    found = texts.select("t", "text").mapInPandas(_find_anchors(phrase, width), "t bigint, grams array<bigint>, at array<int>")
-    marks = stage.write(found.select("t", F.explode(F.arrays_zip("grams", "at")).alias("m")).select("t", F.col("m.grams").alias("gram"), F.col("m.at").alias("at")), "anchors")
-    recurring = marks.groupBy("gram").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("gram")
-    hits = stage.write(_chains(marks.join(recurring, "gram", "left_semi"), texts, size, phrase, width), "hits")
-
-    first = hits.groupBy("gram").agg(F.min(F.struct("t", "at")).alias("f")).select("gram", "f.t", "f.at")
-    phrases = stage.write(first.join(texts, "t").select("gram", F.expr(f"substring(text, at + 1, {phrase})").alias("piece")), "phrases")
-    shards = max(1, -(-phrases.count() * phrase // shard_nodes))
-    shard = F.pmod("gram", F.lit(shards)).cast("int")
-    stretches = hits.select("t", "start", "end").distinct()
-    chars = stretches.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
-    salts = max(1, int(-(-chars // (TASK_CHARS * shards))))
-    routed = hits.select("t", "start", "end", shard.alias("shard")).distinct().join(texts.select("t", "text"), "t")
-    stream = phrases.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("start"), "piece").unionByName(
-        routed.select("shard", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int").alias("salt"), "t", "start", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("piece"))
-    )
-    ordered = stream.repartition(max(1, min(shards * salts, 4096)), "shard", "salt").sortWithinPartitions("shard", "salt", "t")
-    located = ordered.select((F.col("shard") * salts + F.col("salt")).alias("shard"), "t", "start", "piece").mapInPandas(_scan(), "t bigint, at array<bigint>")
-    confirmed = located.select("t", F.explode("at").alias("at")).distinct()
-
-    parts = _chains(confirmed, texts, size, phrase, width).select("t", "start", "end").distinct().join(texts.select("t", "text"), "t")
-    cut = parts.select("t", "text", "end", F.explode(F.expr(f"sequence(start, end - {size}, {CHUNK})")).alias("start"))
-    hashed = cut.select("t", "start", F.expr(f"substring(text, cast(start + 1 as int), cast(least(end - start, {CHUNK + size - 1}) as int))").alias("piece")).mapInPandas(
-        _hash_windows(size), "t bigint, start bigint, hashes array<bigint>"
-    )
-    windows = stage.write(hashed.select("t", "start", F.posexplode("hashes").alias("i", "h")).select("t", (F.col("start") + F.col("i")).alias("at"), "h"), "windows")
-    common = windows.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h")
-    single = texts.where("lo = hi").select("t", "lo")
-    shared = windows.join(common, "h", "left_semi").select("t", "at")
-    order = Window.partitionBy("t").orderBy("at")
-    islands = shared.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(order), F.lit(-(10**15))) > size).cast("int"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("t"), F.col(text).alias("text")).where(F.col("t").isNotNull() & (F.length("text") >= size))
+    rows = rows.select("t", F.xxhash64("text").alias("u"), F.length("text").alias("n"), F.md5("text").alias("key"), "text")
+    ids = rows.select("t", "u", "key", "n")
+    folded = ids.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("key", "lo")
+    copies = stage.write(ids.join(folded, "key").distinct(), "copies")
+    kept = rows.join(copies.where("t > lo").select("t", "u"), ["t", "u"], "left_anti")
+
+    found = kept.select("t", "u", "n", "text").mapInPandas(_find_anchors(phrase, width), "t bigint, u bigint, n int, grams array<bigint>, at array<int>")
+    marks = stage.write(found.select("t", "u", "n", F.explode(F.arrays_zip("grams", "at")).alias("m")).select("t", "u", "n", F.col("m.grams").alias("gram"), F.col("m.at").alias("at")), "anchors")
+    recurring = marks.groupBy("gram").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min(F.struct("t", "u", "at")).alias("first")).where("a <> b").select("gram", "first")
+    hits = _chains(marks.join(recurring, "gram").withColumn("head", F.struct("t", "u", "at") == F.col("first")).drop("first").distinct(), size, phrase, width)
+    stretches = hits.groupBy("t", "u", "start", "end").agg(F.sort_array(F.collect_list(F.struct("at", "gram", "head"))).alias("marks"))
+    pieces = stretches.join(kept.select("t", "u", "text"), ["t", "u"]).select("t", "u", "start", "marks", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("piece"))
+    pieces = stage.write(pieces, "pieces")
+
+    passages = pieces.select("start", "piece", F.explode("marks").alias("m")).where("m.head").select(F.col("m.gram").alias("gram"), F.expr(f"substring(piece, cast(m.at - start + 1 as int), {phrase})").alias("piece"))
+    sizes = pieces.agg(F.sum(F.aggregate("marks", F.lit(0), lambda n, m: n + m["head"].cast("int"))), F.sum(F.length("piece"))).first()
+    shards = max(1, -(-int(sizes[0] or 0) * HEAD // shard_nodes))
+    salts = max(1, -(-int(sizes[1] or 0) // (TASK_CHARS * shards)))
+    nothing = F.array().cast("array<bigint>")
+    heads = passages.select(F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("head"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("start"), "piece", nothing.alias("own"), nothing.alias("places"))
+    owners = pieces.withColumn("shard", F.explode(F.array_distinct(F.transform("marks", lambda m: F.pmod(m["gram"], F.lit(shards)).cast("int")))))
+    routed = owners.select(
+        "shard", F.pmod(F.xxhash64("t", "u"), F.lit(salts)).cast("int").alias("salt"), F.lit(False).alias("head"), "t", "u", "start", "piece",
+        F.transform(F.filter("marks", lambda m: F.pmod(m["gram"], F.lit(shards)) == F.col("shard")), lambda m: m["at"].cast("bigint")).alias("own"),
+        F.transform("marks", lambda m: m["at"].cast("bigint")).alias("places"),
+    )
+    ordered = heads.unionByName(routed).repartition(max(1, min(shards * salts, 4096)), "shard", "salt").sortWithinPartitions("shard", "salt", F.desc("head"))
+    stream = ordered.select((F.col("shard") * salts + F.col("salt")).alias("shard"), "head", "t", "u", "start", "piece", "own", "places")
+    runs = stage.write(stream.mapInPandas(_scan(size, width, min(HEAD, phrase)), "t bigint, u bigint, run bigint, h1 array<bigint>, h2 array<bigint>"), "runs")
+
+    # a run has at most ``width`` < ``size`` windows, so what is shared of it is one stretch
+    windows = runs.select("t", "u", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select("t", "u", "run", "i", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+    common = windows.groupBy("h1", "h2").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h1", "h2")
+    shared = windows.join(common, ["h1", "h2"], "left_semi").groupBy("t", "u", "run").agg((F.col("run") + F.min("i")).alias("lo"), (F.col("run") + F.max("i")).alias("hi"))
+    order = Window.partitionBy("t", "u").orderBy("lo")
+    islands = shared.withColumn("new", (F.col("lo") - F.coalesce(F.lag("hi").over(order), F.lit(-(10**15))) > size).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("t", "island").agg(F.min("at").alias("start_pos"), (F.max("at") + size).alias("end_pos"))
-    alone = spans.join(single, "t").select(F.col("lo").alias(doc_id), "start_pos", "end_pos")
-    copied = texts.where("lo <> hi").select("text", "n")
-    copies = rows.join(copied.withColumn("key", F.sha2("text", 256)).select("key", "n"), F.sha2(rows["text"], 256) == F.col("key"))
-    whole = copies.select(F.col("id").alias(doc_id), F.lit(0).cast("bigint").alias("start_pos"), F.col("n").cast("bigint").alias("end_pos")).distinct()
-    return alone.unionByName(whole)
+    spans = islands.groupBy("t", "u", "island").agg(F.min("lo").alias("start_pos"), (F.max("hi") + size).alias("end_pos"))
+    whole = copies.select("t", F.lit(0).cast("bigint").alias("start_pos"), F.col("n").cast("bigint").alias("end_pos"))
+    alone = spans.join(copies, ["t", "u"], "left_anti").select("t", "start_pos", "end_pos")
+    return alone.unionByName(whole).withColumnRenamed("t", doc_id).distinct()
 
 
 def brute_force(texts: dict[int, str], size: int) -> set[tuple[int, int, int]]:
