@@ -301,34 +301,38 @@ def _stands(n, m):
     return excess * excess / (total * SLIP_SHARE * (1 - SLIP_SHARE)) >= SIGNIFICANT
 
 
-def chances(counts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """counts (scope, word, n): how many words a scope has, and established ones (all, some); by class of length, how many pairs of
-    established words of one scope there are."""
-    frequent = F.col("n") >= MIN_SUPPORT
-    sizes = counts.groupBy("scope").agg(F.count(F.lit(1)).alias("all"), F.sum(frequent.cast("bigint")).alias("some"), *[F.sum((frequent & (_length_class(F.col("word")) == c)).cast("bigint")).alias(f"k{c}") for c in (0, 1, 2)])
-    tried = sizes.agg(*[F.sum(F.col(f"k{c}") * (F.col("some") - 1) / 2).alias(f"k{c}") for c in (0, 1, 2)]).first()
-    return sizes.select("scope", "all", "some"), {c: int(tried[c] or 0) for c in (0, 1, 2)}
-
-
-def spelling_rewrites(near: DataFrame, counts: DataFrame, sizes: DataFrame, tried: dict[int, int]) -> DataFrame:
-    """near (scope, word, lead, d), counts (scope, word, n), ``chances`` of the words: rewrites (scope, word, next) to the nearest, then commonest, then smallest word.
+def chances(forms: DataFrame, near: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """How many leads each scope has, and established ones (scope, all, some); and by class of length of the lead the share of near
+    ones that both stand among all pairs of an established word with an established lead, one more counted than was seen."""
+    frequent, size_class = F.col("n") >= MIN_SUPPORT, _length_class(F.col("word"))
+    some = lambda c: F.sum(c.cast("bigint"))
+    sizes = forms.groupBy("scope").agg(some(F.col("leads")).alias("all"), some(F.col("leads") & frequent).alias("some"), some(F.col("words") & frequent).alias("own"), *[some(F.col("leads") & frequent & (size_class == c)).alias(f"k{c}") for c in (0, 1, 2)])
+    tried = sizes.agg(*[F.sum(F.col(f"k{c}") * F.greatest(F.col("own") - 1, F.lit(0)) / 2).alias(f"k{c}") for c in (0, 1, 2)])
+    counts = forms.select("scope", "word", "n")
+    known = near.join(counts.where(frequent), ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m >= n")
+    met = known.where(_stands(F.col("n"), F.col("m"))).agg(*[some(_length_class(F.col("lead")) == c).alias(f"m{c}") for c in (0, 1, 2)])
+    found = tried.crossJoin(met).first()  # one row each
+    return sizes.select("scope", "all", "some"), {c: min(1.0, ((found[f"m{c}"] or 0) + 1) / (float(found[f"k{c}"] or 0) + 1)) for c in (0, 1, 2)}
+
+
+def spelling_rewrites(near: DataFrame, counts: DataFrame, sizes: DataFrame, rates: dict[int, float]) -> DataFrame:
+    """near (scope, word, lead, d), counts (scope, word, n), ``chances`` of the words: rewrites (scope, word, next) to the nearest, then
+    commonest, then smallest word.
 
     A rewrite needs evidence. (a) The lead is commoner (of ties the smaller word), and the word is not too frequent to be its slip.
     (b) Either the lead dominates: the likelihood ratio of the two counts against equal shares is significant. Or chance does not
-    explain the pair: among all pairs of established words of one scope (by length of the lead) the share of near ones that both
-    stand, counting one more than was seen, times the number of possible leads in the scope, gives at most CHANCE unrelated words
-    near this one. So two words that occur once each stay apart in a table that has not shown near names to be slips.
+    explain the pair: the rate at which established names stand near each other in this table, times the number of possible leads in
+    the scope, gives at most CHANCE unrelated words near this one. So two words that occur once each stay apart in a table that has
+    not shown near names to be slips.
     """
     known = near.join(counts, ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m > n or (m = n and lead < word)")
-    known = known.withColumn("c", _length_class(F.col("lead"))).withColumn("stands", _stands(F.col("n"), F.col("m")))
-    met = {r["c"]: r["k"] for r in known.where(F.col("stands") & (F.col("n") >= MIN_SUPPORT)).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     rate = F.lit(1.0)
     for c in (0, 1, 2):
-        rate = F.when(F.col("c") == c, F.lit((met.get(c, 0) + 1) / (tried.get(c, 0) + 1))).otherwise(rate)
+        rate = F.when(_length_class(F.col("lead")) == c, F.lit(rates[c])).otherwise(rate)
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     ratio = 2 * (m * F.log(2 * m / (n + m)) + n * F.log(2 * n / (n + m)))
     leads = F.when(F.col("m") >= MIN_SUPPORT, F.col("some")).otherwise(F.col("all"))
-    good = known.where("not stands").join(sizes, "scope").where((ratio > SIGNIFICANT) | (leads * rate <= CHANCE))
+    good = known.where(~_stands(F.col("n"), F.col("m"))).join(sizes, "scope").where((ratio > SIGNIFICANT) | (leads * rate <= CHANCE))
     return good.groupBy("scope", "word").agg(F.min(F.struct("d", -F.col("m"), "lead")).alias("b")).select("scope", "word", F.col("b.lead").alias("next"))
 
 
@@ -344,11 +348,10 @@ def settle(forms: DataFrame, stage) -> DataFrame:
             forms = forms.withColumn(c, F.lit(True))
     forms = stage.write(forms.select("scope", "word", "n", "words", "leads"), "forms")
     near = near_pairs(forms, stage)
+    sizes, rates = chances(forms, near)
     counts, mapping = forms.select("scope", "word", "n"), None
-    sizes, tried = chances(counts)
-    sizes = stage.write(sizes, "sizes")
     for _ in range(MAX_ROUNDS):
-        found = stage.write(spelling_rewrites(near, counts, sizes, tried), "rewrites")
+        found = stage.write(spelling_rewrites(near, counts, sizes, rates), "rewrites")
         if found.isEmpty():
             return mapping if mapping is not None else found.withColumnRenamed("next", "lead")
         step = found.withColumnRenamed("next", "lead")
@@ -356,7 +359,7 @@ def settle(forms: DataFrame, stage) -> DataFrame:
             onward = found.select("scope", F.col("word").alias("lead"), "next")
             step = mapping.join(onward, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead")).unionByName(step.join(mapping, ["scope", "word"], "left_anti"))
         mapping = stage.write(step, "settled")
-        counts = stage.write(counts.join(found, ["scope", "word"], "left").groupBy("scope", F.coalesce("next", "word").alias("word")).agg(F.sum("n").alias("n")), "counts")
+        counts = forms.join(mapping, ["scope", "word"], "left").groupBy("scope", F.coalesce("lead", "word").alias("word")).agg(F.sum("n").alias("n"))
     raise RuntimeError(f"spellings still change after {MAX_ROUNDS} rounds")
 
 
@@ -380,11 +383,12 @@ def place_of_towns(towns: DataFrame, stage) -> DataFrame:
     Abbreviated words, spelling within a postal code, spelling at large, then the code's town if it has none."""
     long = town_rewrites(towns.where("town <> ''").groupBy("town").agg(F.sum("n").alias("n")))
     at = stage.write(towns.join(long, "town", "left").withColumn("word", _spelled(F.coalesce("lead", "town"))).drop("lead"), "long")
-    local = settle(at.where("word <> '' and code <> ''").groupBy(F.col("code").alias("scope"), "word").agg(F.sum("n").alias("n")), stage)
-    at = at.join(local.select(F.col("scope").alias("code"), "word", "lead"), ["code", "word"], "left").withColumn("word", F.coalesce("lead", "word")).drop("lead")
-    at = stage.write(at, "local")
-    wide = settle(at.where("word <> ''").groupBy(F.lit("").alias("scope"), "word").agg(F.sum("n").alias("n")), stage)
-    at = at.join(wide.select("word", "lead"), "word", "left").withColumn("word", F.coalesce("lead", "word")).drop("lead")
+    named = at.where("word <> ''")
+    local = named.where("code <> ''").groupBy(F.concat(F.lit("c"), "code").alias("scope"), "word").agg(F.sum("n").alias("n"))
+    found = settle(local.unionByName(named.groupBy(F.lit("").alias("scope"), "word").agg(F.sum("n").alias("n"))), stage)
+    for scope in (F.concat(F.lit("c"), "code"), F.lit("")):
+        at = at.withColumn("scope", scope).join(found, ["scope", "word"], "left").withColumn("word", F.coalesce("lead", "word")).drop("scope", "lead")
+    at = stage.write(at, "spelled")
     shares = at.where("word <> '' and code <> ''").groupBy("code", "word").agg(F.sum("n").alias("n"))
     of_code = shares.groupBy("code").agg(F.max(F.struct("n", "word")).alias("m"), F.sum("n").alias("t")).where("m.n >= 0.6 * t").select("code", F.col("m.word").alias("home"))
     at = at.join(of_code, "code", "left")
@@ -461,36 +465,42 @@ def read_streets(streets: DataFrame, kinds: DataFrame, short: DataFrame, usual:
 # ---- all together
 
 
-def _fill(streets: DataFrame) -> DataFrame:
-    """A missing kind follows if the town has the name with one kind; a missing town if one town only has the street."""
+def _fill_kind(streets: DataFrame) -> DataFrame:
+    """A missing kind follows if the town has the name with one kind."""
     single = streets.where("kind <> '' and place <> ''").groupBy("place", "name").agg(F.min("kind").alias("only"), F.max("kind").alias("x")).where("only = x").select("place", "name", "only")
-    filled = streets.join(single, ["place", "name"], "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("only", F.lit("")))).drop("only")
-    home = filled.where("place <> ''").groupBy("name", "kind").agg(F.min("place").alias("home"), F.max("place").alias("x")).where("home = x").select("name", "kind", "home")
-    return filled.join(home, ["name", "kind"], "left").withColumn("at", F.when(F.col("place") != "", F.col("place")).otherwise(F.coalesce("home", F.lit("")))).drop("home")
+    return streets.join(single, ["place", "name"], "left").withColumn("kind", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("only", F.lit("")))).drop("only")
+
+
+def _fill_town(streets: DataFrame) -> DataFrame:
+    """at: the town, or if it is missing the only one that has the street."""
+    home = streets.where("place <> ''").groupBy("name", "kind").agg(F.min("place").alias("home"), F.max("place").alias("x")).where("home = x").select("name", "kind", "home")
+    return streets.join(home, ["name", "kind"], "left").withColumn("at", F.when(F.col("place") != "", F.col("place")).otherwise(F.coalesce("home", F.lit("")))).drop("home")
 
 
 def _spell(streets: DataFrame, stage) -> DataFrame:
-    """streets with their names settled: within town and kind; then names without a kind against all of the town, and names without a
-    town against all of the kind."""
-    scope = F.concat_ws("|", "place", "kind")
-
-    def apply(rows: DataFrame, by, mapping: DataFrame, where) -> DataFrame:
-        found = mapping.select(F.col("scope").alias("_scope"), F.col("word").alias("name"), "lead")
-        return rows.withColumn("_scope", F.when(where, by)).join(found, ["_scope", "name"], "left").withColumn("name", F.coalesce("lead", "name")).drop("_scope", "lead")
-
-    always = (F.col("place") != "") & (F.col("kind") != "")
-    inside = settle(streets.where(always).groupBy(scope.alias("scope"), F.col("name").alias("word")).agg(F.sum("n").alias("n")), stage)
-    streets = stage.write(apply(streets, scope, inside, always), "inside")
-    for part, missing in (("place", "kind"), ("kind", "place")):
-        lacks = (F.col(missing) == "") & (F.col(part) != "")
-        if streets.where(lacks).isEmpty():
-            continue
-        by = [F.col(part).alias("scope"), F.col("name").alias("word")]
-        full = streets.where(always).groupBy(*by).agg(F.sum("n").alias("n")).withColumns({"words": F.lit(False), "leads": F.lit(True)})
-        poor = streets.where(lacks).groupBy(*by).agg(F.sum("n").alias("n")).join(full, ["scope", "word"], "left_anti").withColumns({"words": F.lit(True), "leads": F.lit(part == "place")})
-        mapping = settle(poor.unionByName(full.join(poor.select("scope").distinct(), "scope", "left_semi")), stage)
-        streets = stage.write(apply(streets, F.col(part), mapping, lacks), "spelled")
-    return streets
+    """streets with their names settled within town and kind, after names without a kind were compared with all of the town, and names
+    without a town with all of the kind; missing kinds and towns filled."""
+    inside, of_town, of_kind = F.concat(F.lit("i"), "place", F.lit("|"), "kind"), F.concat(F.lit("p"), "place"), F.concat(F.lit("k"), "kind")
+    place, kind = F.col("place") != "", F.col("kind") != ""
+
+    def part(rows: DataFrame, scope, words: bool, leads: bool) -> DataFrame:
+        return rows.groupBy(scope.alias("scope"), F.col("name").alias("word")).agg(F.sum("n").alias("n")).withColumns({"words": F.lit(words), "leads": F.lit(leads)})
+
+    full, forms = streets.where(place & kind), None
+    forms = part(full, inside, True, True)
+    for lacks, scope, leads in ((place & ~kind, of_town, True), (~place & kind, of_kind, False)):
+        poor = part(streets.where(lacks), scope, True, leads)
+        others = part(full, scope, False, True).join(poor.select("scope").distinct(), "scope", "left_semi")
+        forms = forms.unionByName(poor.join(others, ["scope", "word"], "left_anti")).unionByName(others)
+    found = stage.write(settle(forms, stage).withColumnRenamed("word", "name").withColumnRenamed("scope", "_scope"), "names")
+
+    def apply(rows: DataFrame, scope) -> DataFrame:
+        return rows.withColumn("_scope", scope).join(found, ["_scope", "name"], "left").withColumn("name", F.coalesce("lead", "name")).drop("_scope", "lead")
+
+    poor = apply(streets, F.when(place & ~kind, of_town).when(~place & kind, of_kind))
+    filled = stage.write(_fill_town(_fill_kind(poor)), "filled")
+    spelled_ = apply(filled, F.when((F.col("at") != "") & kind, F.concat(F.lit("i"), "at", F.lit("|"), "kind"))).drop("at")
+    return stage.write(_fill_town(_fill_kind(spelled_)), "spelled")
 
 
 def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: str, stage, repaired: DataFrame | None = None) -> DataFrame:
@@ -528,7 +538,7 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     short = stage.write(kind_rewrites(seen, kinds, same_number), "short")
     for _ in range(MAX_ROUNDS):
         read = stage.write(read_streets(streets, kinds, short, usual), "read")
-        done = stage.write(_fill(_spell(read, stage)), "filled")
+        done = _spell(read, stage)
         # mined again, on the normalised names
         same = done.where("place <> ''").join(read.select("place", "tokens", F.col("name").alias("was")), ["place", "tokens"]).where("name <> was")
         names = same.groupBy(F.col("place").alias("town"), F.col("was").alias("name")).agg(F.min("name").alias("now"))
