@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,37 +254,68 @@ def _limit(c):
     return F.when(F.length(c) < 4, 0).when(F.length(c) < 9, 1).otherwise(2)
 
 
-def _less(word):
-    """The word without each of its letters."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-
-
-def _neighbourhood(scope, word, two):
-    """Hashes of (scope, word less some letters): up to two letters where ``two`` holds, else one."""
-    once = F.array_distinct(_less(word))
-    forms = F.concat(F.array(word), once, F.when(two, F.flatten(F.transform(once, _less))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.transform(forms, lambda v: F.xxhash64(scope, v)))
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(256)
+def _shortened(n: int, two: bool) -> np.ndarray:
+    """Which letters of a word of n letters are kept, as a row of places for each form (-1: none), less up to one or two letters."""
+    cuts = [()] + [(i,) for i in range(n)] + ([(i, j) for i in range(n) for j in range(i + 1, n)] if two else [])
+    return np.array([[k for k in range(n) if k not in c] + [-1] * len(c) for c in cuts], dtype=np.int64)
+
+
+def _neighbours(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Hashes of (scope, word less some letters), distinct; all words of one length of a batch are worked on at once."""
+    for scopes, words, twos in batches:
+        out = [None] * len(words)
+        groups: dict[tuple[int, bool], list[int]] = {}
+        for i, (w, t) in enumerate(zip(words, twos)):
+            groups.setdefault((len(w), bool(t)), []).append(i)
+        for (n, two), rows in groups.items():
+            keep = _shortened(n, two)
+            powers = np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64)) if n else np.zeros(0, dtype=np.uint64)
+            scope = scopes.to_numpy()[rows].astype(np.int64).view(np.uint64)
+            step = max(1, 2_000_000 // max(1, keep.size))
+            for k in range(0, len(rows), step):
+                part = rows[k : k + step]
+                codes = np.frombuffer("".join(words.iloc[i] for i in part).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64).reshape(len(part), n)
+                codes = np.concatenate([codes + np.uint64(1), np.zeros((len(part), 1), dtype=np.uint64)], axis=1)
+                h = (codes[:, keep] * powers).sum(axis=2, dtype=np.uint64) + scope[k : k + step, None]
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                for i, row in zip(part, h.view(np.int64)):
+                    out[i] = np.unique(row)
+        yield pd.Series(out, index=words.index, dtype=object)
 
 
 def near_words(words: DataFrame, leads: DataFrame) -> DataFrame:
-    """words, leads (scope, word): pairs (scope, word, lead, d) of different words of one scope, d at most the edits that the lead's
-    length allows (none under 4 letters, one under 9, else two). Complete: words so near share a form less d letters each."""
-    one = words.where("length(word) >= 3").select("scope", "word", F.explode(_neighbourhood(F.col("scope"), F.col("word"), F.length("word") >= 7)).alias("h"))
-    two = leads.where("length(word) >= 4").select(F.col("word").alias("lead"), F.explode(_neighbourhood(F.col("scope"), F.col("word"), F.length("word") >= 9)).alias("h"), F.col("scope").alias("s"))
-    met = one.join(two, "h").where("word <> lead and scope = s").select("scope", "word", "lead").distinct()
-    rough = F.levenshtein("word", "lead")
+    """words, leads (id, scope, word, n): pairs (scope, word, lead, n, m, d) of different words of one scope, d at most the edits that
+    the lead's length allows (none under 4 letters, one under 9, else two). Complete: words so near share a form less d letters each.
+    """
+    hashes = F.pandas_udf("array<bigint>")(_neighbours)
+    length = F.length("word")
+    scope = F.xxhash64("scope")
+    # a word meets leads of lengths it can be a slip of only
+    reach = leads.where(length >= 4).groupBy("scope").agg(F.collect_set(F.least(length, F.lit(60))).alias("lengths"))
+    near_length = lambda a, b: F.exists("lengths", lambda x: x.between(F.greatest(F.least(length, F.lit(60)) - b, F.lit(a)), F.least(length, F.lit(60)) + b))
+    able = words.where(length >= 3).join(reach, "scope").select("id", "scope", "word", near_length(4, 1).alias("one"), near_length(9, 2).alias("two")).where("one or two")
+    given = able.select("id", F.explode(hashes(scope, "word", "two")).alias("h"))
+    asked = leads.where(length >= 4).select(F.col("id").alias("lead_id"), F.explode(hashes(scope, "word", length >= 9)).alias("h"))
+    ids = given.join(asked, "h").where("id <> lead_id").select("id", "lead_id").distinct()
+    met = ids.join(words.select("id", "scope", "word", "n"), "id").join(leads.select(F.col("id").alias("lead_id"), F.col("word").alias("lead"), F.col("n").alias("m"), F.col("scope").alias("s")), "lead_id")
+    met = met.where("word <> lead and scope = s").withColumn("rough", F.levenshtein("word", "lead"))
     gone = F.col("word").rlike(_GONE)
-    met = met.withColumn("rough", rough).where(gone | (F.col("rough") <= 2 * _limit(F.col("lead"))))
-    exact = F.pandas_udf("int")(_apart)
-    sure = met.where(~gone & (F.col("rough") <= 1)).withColumn("d", F.col("rough"))
-    open_ = met.where(gone | (F.col("rough") > 1)).withColumn("d", exact("word", "lead"))
-    return sure.unionByName(open_).where(F.col("d") <= _limit(F.col("lead"))).select("scope", "word", "lead", "d")
+    sure = ~gone & (F.col("rough") <= 1)
+    exact = F.pandas_udf("int")(_apart)  # a swap is two edits for levenshtein, one here
+    met = met.where(gone | (F.col("rough") <= 2 * _limit(F.col("lead"))))
+    both = met.where(sure).withColumn("d", F.col("rough")).unionByName(met.where(~sure).withColumn("d", exact("word", "lead")))
+    return both.where(F.col("d") <= _limit(F.col("lead"))).select("scope", "word", "lead", "n", "m", "d")
 
 
 def near_pairs(forms: DataFrame, stage) -> DataFrame:
-    """forms (scope, word, n, words and leads boolean: which may be rewritten, and which be leads): near pairs, in two parts so that the many slips of a common word aren't paired with each
-    other: every word with every established lead (MIN_SUPPORT and more), then the words near none of those with each other. A word
-    with an established lead never needs a rarer one."""
+    """forms (id, scope, word, n, words and leads boolean: which may be rewritten, and which be leads): near pairs, in two parts so that
+    the many slips of a common word aren't paired with each other: every word with every established lead (MIN_SUPPORT and more), then
+    the words near none of those with each other. A word with an established lead never needs a rarer one."""
     first = stage.write(near_words(forms.where("words"), forms.where("leads").where(F.col("n") >= MIN_SUPPORT)), "near")
     rest = forms.join(first.select("scope", "word").distinct(), ["scope", "word"], "left_anti").where(F.col("n") < MIN_SUPPORT)
     single = near_words(rest.where("words"), rest.where("leads"))
@@ -307,17 +339,13 @@ def chances(forms: DataFrame, near: DataFrame) -> tuple[DataFrame, dict[int, flo
     frequent, size_class = F.col("n") >= MIN_SUPPORT, _length_class(F.col("word"))
     some = lambda c: F.sum(c.cast("bigint"))
     sizes = forms.groupBy("scope").agg(some(F.col("leads")).alias("all"), some(F.col("leads") & frequent).alias("some"), some(F.col("words") & frequent).alias("own"), *[some(F.col("leads") & frequent & (size_class == c)).alias(f"k{c}") for c in (0, 1, 2)])
-    tried = sizes.agg(*[F.sum(F.col(f"k{c}") * F.greatest(F.col("own") - 1, F.lit(0)) / 2).alias(f"k{c}") for c in (0, 1, 2)])
-    counts = forms.select("scope", "word", "n")
-    known = near.join(counts.where(frequent), ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m >= n")
-    met = known.where(_stands(F.col("n"), F.col("m"))).agg(*[some(_length_class(F.col("lead")) == c).alias(f"m{c}") for c in (0, 1, 2)])
-    found = tried.crossJoin(met).first()  # one row each
-    return sizes.select("scope", "all", "some"), {c: min(1.0, ((found[f"m{c}"] or 0) + 1) / (float(found[f"k{c}"] or 0) + 1)) for c in (0, 1, 2)}
+    tried = sizes.agg(*[F.sum(F.col(f"k{c}") * F.greatest(F.col("own") - 1, F.lit(0)) / 2) for c in (0, 1, 2)]).first()
+    met = near.where(frequent & (F.col("m") >= F.col("n")) & _stands(F.col("n"), F.col("m"))).agg(*[some(_length_class(F.col("lead")) == c) for c in (0, 1, 2)]).first()
+    return sizes.select("scope", "all", "some"), {c: min(1.0, ((met[c] or 0) + 1) / (float(tried[c] or 0) + 1)) for c in (0, 1, 2)}
 
 
-def spelling_rewrites(near: DataFrame, counts: DataFrame, sizes: DataFrame, rates: dict[int, float]) -> DataFrame:
-    """near (scope, word, lead, d), counts (scope, word, n), ``chances`` of the words: rewrites (scope, word, next) to the nearest, then
-    commonest, then smallest word.
+def spelling_rewrites(near: DataFrame, rates: dict[int, float]) -> DataFrame:
+    """near (scope, word, lead, d, n, m, all, some): rewrites (scope, word, n, next) to the nearest, then commonest, then smallest word.
 
     A rewrite needs evidence. (a) The lead is commoner (of ties the smaller word), and the word is not too frequent to be its slip.
     (b) Either the lead dominates: the likelihood ratio of the two counts against equal shares is significant. Or chance does not
@@ -325,44 +353,64 @@ def spelling_rewrites(near: DataFrame, counts: DataFrame, sizes: DataFrame, rate
     the scope, gives at most CHANCE unrelated words near this one. So two words that occur once each stay apart in a table that has
     not shown near names to be slips.
     """
-    known = near.join(counts, ["scope", "word"]).join(counts.toDF("scope", "lead", "m"), ["scope", "lead"]).where("m > n or (m = n and lead < word)")
     rate = F.lit(1.0)
     for c in (0, 1, 2):
         rate = F.when(_length_class(F.col("lead")) == c, F.lit(rates[c])).otherwise(rate)
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     ratio = 2 * (m * F.log(2 * m / (n + m)) + n * F.log(2 * n / (n + m)))
     leads = F.when(F.col("m") >= MIN_SUPPORT, F.col("some")).otherwise(F.col("all"))
-    good = known.where(~_stands(F.col("n"), F.col("m"))).join(sizes, "scope").where((ratio > SIGNIFICANT) | (leads * rate <= CHANCE))
-    return good.groupBy("scope", "word").agg(F.min(F.struct("d", -F.col("m"), "lead")).alias("b")).select("scope", "word", F.col("b.lead").alias("next"))
+    good = near.where("m > n or (m = n and lead < word)").where(~_stands(F.col("n"), F.col("m"))).where((ratio > SIGNIFICANT) | (leads * rate <= CHANCE))
+    return good.groupBy("scope", "word").agg(F.first("n").alias("n"), F.min(F.struct("d", -F.col("m"), "lead")).alias("b")).select("scope", "word", "n", F.col("b.lead").alias("next"))
 
 
-def settle(forms: DataFrame, stage) -> DataFrame:
+def settle(forms: DataFrame, stage, near: DataFrame | None = None) -> DataFrame:
     """Mines and applies spelling rewrites until no new one appears; gives (scope, word, lead) for every rewritten word of forms
     (scope, word, n, perhaps words and leads: whether it may be rewritten, and be a lead).
 
-    Which words are near each other is found once; each round weighs them anew by the counts after the rewrites so far. Every round
-    removes at least one word, so it ends.
+    Which words are near each other is found once (or given); each round weighs those that are left by the counts after the rewrites
+    so far. Every round removes at least one word, so it ends.
     """
     for c in ("words", "leads"):
         if c not in forms.columns:
             forms = forms.withColumn(c, F.lit(True))
-    forms = stage.write(forms.select("scope", "word", "n", "words", "leads"), "forms")
-    near = near_pairs(forms, stage)
+    if near is None:
+        forms = stage.write(forms.select(F.monotonically_increasing_id().alias("id"), "scope", "word", "n", "words", "leads"), "forms")
+        near = near_pairs(forms, stage)
     sizes, rates = chances(forms, near)
-    counts, mapping = forms.select("scope", "word", "n"), None
+    near, mapping = near.join(sizes, "scope"), None
     for _ in range(MAX_ROUNDS):
-        found = stage.write(spelling_rewrites(near, counts, sizes, rates), "rewrites")
+        found = stage.write(spelling_rewrites(near, rates), "rewrites")
         if found.isEmpty():
-            return mapping if mapping is not None else found.withColumnRenamed("next", "lead")
-        step = found.withColumnRenamed("next", "lead")
+            return _followed(mapping, stage) if mapping is not None else found.select("scope", "word", F.col("next").alias("lead"))
+        onto = found.select("scope", F.col("word").alias("next"), F.col("next").alias("beyond"))
+        ends = found
+        for _ in range(2):  # a lead that is rewritten in the same round
+            ends = ends.join(onto, ["scope", "next"], "left").select("scope", "word", "n", F.coalesce("beyond", "next").alias("next"))
+        found = stage.write(ends, "ends")
+        step = found.select("scope", "word", F.col("next").alias("lead"))
         if mapping is not None:
             onward = found.select("scope", F.col("word").alias("lead"), "next")
-            step = mapping.join(onward, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead")).unionByName(step.join(mapping, ["scope", "word"], "left_anti"))
+            step = mapping.join(onward, ["scope", "lead"], "left").select("scope", "word", F.coalesce("next", "lead").alias("lead")).unionByName(step)
         mapping = stage.write(step, "settled")
-        counts = forms.join(mapping, ["scope", "word"], "left").groupBy("scope", F.coalesce("lead", "word").alias("word")).agg(F.sum("n").alias("n"))
+        # pairs of words that are left, with what their words have won
+        won = found.groupBy("scope", "next").agg(F.sum("n").alias("won"))
+        gone = found.select("scope", "word")
+        left = near.join(gone, ["scope", "word"], "left_anti").join(gone.withColumnRenamed("word", "lead"), ["scope", "lead"], "left_anti")
+        for side, count in (("word", "n"), ("lead", "m")):
+            left = left.join(won.withColumnRenamed("next", side), ["scope", side], "left").withColumn(count, F.col(count) + F.coalesce("won", F.lit(0))).drop("won")
+        near = stage.write(left, "left")
     raise RuntimeError(f"spellings still change after {MAX_ROUNDS} rounds")
 
 
+def _followed(mapping: DataFrame, stage) -> DataFrame:
+    """mapping (scope, word, lead) with every lead that is a rewritten word itself followed to its end."""
+    while True:
+        onto = mapping.select("scope", F.col("word").alias("lead"), F.col("lead").alias("beyond"))
+        if mapping.join(onto, ["scope", "lead"], "left_semi").isEmpty():
+            return mapping
+        mapping = stage.write(mapping.join(onto, ["scope", "lead"], "left").select("scope", "word", F.coalesce("beyond", "lead").alias("lead")), "followed")
+
+
 # ---- towns
 
 
@@ -384,8 +432,15 @@ def place_of_towns(towns: DataFrame, stage) -> DataFrame:
     long = town_rewrites(towns.where("town <> ''").groupBy("town").agg(F.sum("n").alias("n")))
     at = stage.write(towns.join(long, "town", "left").withColumn("word", _spelled(F.coalesce("lead", "town"))).drop("lead"), "long")
     named = at.where("word <> ''")
+    # near words are found among all towns; those of a postal code are the ones of them that both occur under it
+    wide = named.groupBy(F.lit("").alias("scope"), "word").agg(F.sum("n").alias("n")).withColumns({"words": F.lit(True), "leads": F.lit(True)})
+    wide = stage.write(wide.select(F.monotonically_increasing_id().alias("id"), "scope", "word", "n", "words", "leads"), "forms")
+    near = near_pairs(wide, stage)
     local = named.where("code <> ''").groupBy(F.concat(F.lit("c"), "code").alias("scope"), "word").agg(F.sum("n").alias("n"))
-    found = settle(local.unionByName(named.groupBy(F.lit("").alias("scope"), "word").agg(F.sum("n").alias("n"))), stage)
+    local = stage.write(local.withColumns({"words": F.lit(True), "leads": F.lit(True)}), "by_code")
+    by_code = local.join(near.select("word", "lead", "d"), "word").join(local.select("scope", F.col("word").alias("lead"), F.col("n").alias("m")), ["scope", "lead"])
+    near = stage.write(near.unionByName(by_code.select("scope", "word", "lead", "n", "m", "d")), "near")
+    found = settle(wide.drop("id").unionByName(local), stage, near)
     for scope in (F.concat(F.lit("c"), "code"), F.lit("")):
         at = at.withColumn("scope", scope).join(found, ["scope", "word"], "left").withColumn("word", F.coalesce("lead", "word")).drop("scope", "lead")
     at = stage.write(at, "spelled")
@@ -410,32 +465,38 @@ def mined_kinds(streets: DataFrame) -> DataFrame:
     return often.where("length(word) >= 3").groupBy(F.col("word").alias("kind")).agg(share.alias("s")).where(F.col("s") >= KIND_SHARE).select("kind")
 
 
-def kind_rewrites(seen: DataFrame, kinds: DataFrame, same_number: float) -> DataFrame:
+def kind_rewrites(seen: DataFrame, kinds: DataFrame, same_number: float, stage) -> DataFrame:
     """seen (town, number, name, kind), kinds (kind): abbreviations (short, kind) of kinds, mined from addresses that agree in town,
     number and name.
 
     In MIN_SUPPORT contexts and more, and significant by a likelihood ratio: either the two meet in one context more often than the
     abbreviation meets any kind; or streets of one name agree in house numbers more often than by chance (same_number: that two
-    lines have the same number)."""
-    context = ["town", "number", "name"]
-    full = seen.join(kinds, "kind", "left_semi")
-    short = seen.where((F.length("kind") <= 4) & ~F.col("kind").isin(sorted(ALL_KINDS))).withColumnRenamed("kind", "short")
+    lines have the same number). A context is a set of kinds, however many addresses it has.
+    """
+    flagged = seen.join(kinds.withColumn("full", F.lit(True)), "kind", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    able = (F.length("kind") <= 4) & ~F.col("kind").isin(sorted(ALL_KINDS))
+    cell = F.struct("kind", "full", able.alias("able"))
+    contexts = flagged.groupBy("town", "name", "number").agg(F.collect_set(cell).alias("ks"))
+    shorts, fulls = F.filter("ks", lambda k: k["able"]), F.filter("ks", lambda k: k["full"])
+    both = F.flatten(F.transform(shorts, lambda a: F.transform(fulls, lambda b: F.struct(a["kind"].alias("short"), b["kind"].alias("kind")))))
+    alone = F.when(F.size(fulls) > 0, F.transform(shorts, lambda a: F.struct(a["kind"].alias("short"), F.lit("").alias("kind")))).otherwise(F.array().cast("array<struct<short:string,kind:string>>"))
+    total = F.transform(fulls, lambda b: F.struct(F.lit("").alias("short"), b["kind"].alias("kind")))
+    counted = contexts.select(F.inline(F.concat(both, alone, total))).where("short <> kind").groupBy("short", "kind").agg(F.count(F.lit(1)).alias("n"))
+    streets = flagged.groupBy("town", "name", "kind", "full").agg(F.count(F.lit(1)).alias("x"))
+    streets = streets.groupBy("town", "name").agg(F.collect_list(F.struct("kind", "full", able.alias("able"), "x")).alias("ks")).where(F.exists("ks", lambda k: k["able"]) & F.exists("ks", lambda k: k["full"]))
+    met = F.flatten(F.transform(shorts, lambda a: F.transform(fulls, lambda b: F.struct(a["kind"].alias("short"), b["kind"].alias("kind"), (a["x"] * b["x"]).alias("xy")))))
+    chance = streets.select(F.inline(met)).groupBy("short", "kind").agg(F.sum("xy").alias("xy"))
+    counted = stage.write(counted, "counted")
+    all_ = float(counted.where("short = ''").agg(F.sum("n")).first()[0] or 1)
     abbreviated = F.pandas_udf("boolean")(_subsequences)
-    met = short.join(full, context).where("short <> kind")
-    pairs = met.groupBy("short", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).where(abbreviated("short", "kind"))
-    alone = short.join(full.select(*context).distinct(), context, "left_semi").groupBy("short").agg(F.count(F.lit(1)).alias("a"))
-    totals = full.groupBy("kind").agg(F.count(F.lit(1)).alias("b"))
-    total = float(max(full.count(), 1))
-    judged = pairs.join(alone, "short").join(totals, "kind")
-    street = ["town", "name"]
-    few = short.groupBy("short", *street).agg(F.count(F.lit(1)).alias("x")).join(full.groupBy("kind", *street).agg(F.count(F.lit(1)).alias("y")), street)
-    judged = judged.join(few.groupBy("short", "kind").agg(F.sum(F.col("x") * F.col("y")).alias("xy")), ["short", "kind"])
+    pairs = counted.where((F.col("short") != "") & (F.col("kind") != "") & (F.col("n") >= MIN_SUPPORT)).where(abbreviated("short", "kind"))
+    judged = pairs.join(counted.where("kind = ''").select("short", F.col("n").alias("a")), "short").join(counted.where("short = ''").select("kind", F.col("n").alias("b")), "kind").join(chance, ["short", "kind"])
     n = F.col("n")
 
     def beyond(expected):
         return (n > expected) & (2 * (n * F.log(n / expected) - (n - expected)) > SIGNIFICANT)
 
-    return judged.where(beyond(F.col("a") * F.col("b") / F.lit(total)) | beyond(F.col("xy") * F.lit(same_number))).select("short", "kind")
+    return judged.where(beyond(F.col("a") * F.col("b") / F.lit(all_)) | beyond(F.col("xy") * F.lit(same_number))).select("short", "kind")
 
 
 def _subsequences(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -454,11 +515,11 @@ def _pieces(tokens):
 def read_streets(streets: DataFrame, kinds: DataFrame, short: DataFrame, usual: DataFrame) -> DataFrame:
     """streets (place, tokens, n) with name and kind. The kinds and abbreviations that concern a street are joined to it, so their
     number is not limited."""
-    pieces = streets.select("tokens").distinct().select("tokens", F.explode(_pieces(F.col("tokens"))).alias("kind"))
-    own = pieces.join(kinds, "kind").groupBy("tokens").agg(F.collect_set("kind").alias("kinds"))
-    cut = pieces.withColumnRenamed("kind", "short").join(short, "short").groupBy("tokens").agg(F.collect_list(F.struct("short", "kind")).alias("short"))
+    pieces = streets.select("tokens").distinct().select("tokens", F.explode(_pieces(F.col("tokens"))).alias("short"))
+    table = kinds.select(F.col("kind").alias("short"), F.lit(None).cast("string").alias("kind")).unionByName(short)
+    found = pieces.join(table, "short").groupBy("tokens").agg(F.collect_set(F.when(F.col("kind").isNull(), F.col("short"))).alias("kinds"), F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("short", "kind"))).alias("short"))
     read = F.pandas_udf("name string, kind string")(_read)
-    rows = streets.join(own, "tokens", "left").join(cut, "tokens", "left").join(usual, "place", "left")
+    rows = streets.join(found, "tokens", "left").join(usual, "place", "left")
     return rows.withColumn("s", read("tokens", "kinds", "short", "common")).select("place", "tokens", "n", "s.name", "s.kind")
 
 
@@ -532,10 +593,10 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     usual = streets.where("place <> ''").join(ways.where("full"), "tokens").groupBy("place", "kind").agg(F.sum("n").cast("double").alias("n"))
     usual = stage.write(usual.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("common")), "usual")
 
-    seen = lines.where("place <> ''").join(ways, "tokens").select(F.col("place").alias("town"), "number", "name", "kind").distinct()
+    seen = stage.write(lines.where("place <> ''").join(ways, "tokens").select(F.col("place").alias("town"), "number", "name", "kind").distinct(), "seen")
     numbers = lines.groupBy("number").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k")), F.sum("k")).first()
     same_number = float(numbers[0]) / float(numbers[1]) ** 2 if numbers[1] else 1.0
-    short = stage.write(kind_rewrites(seen, kinds, same_number), "short")
+    short = stage.write(kind_rewrites(seen, kinds, same_number, stage), "short")
     for _ in range(MAX_ROUNDS):
         read = stage.write(read_streets(streets, kinds, short, usual), "read")
         done = _spell(read, stage)
@@ -543,7 +604,7 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
         same = done.where("place <> ''").join(read.select("place", "tokens", F.col("name").alias("was")), ["place", "tokens"]).where("name <> was")
         names = same.groupBy(F.col("place").alias("town"), F.col("was").alias("name")).agg(F.min("name").alias("now"))
         again = seen.join(names, ["town", "name"], "left").select("town", "number", F.coalesce("now", "name").alias("name"), "kind").distinct()
-        new = stage.write(kind_rewrites(again, kinds, same_number).unionByName(short).distinct(), "short")
+        new = stage.write(kind_rewrites(again, kinds, same_number, stage).unionByName(short).distinct(), "short")
         if new.join(short, ["short", "kind"], "left_anti").isEmpty():
             break
         short = new
