@@ -337,3 +337,25 @@ def test_filtered_and_dealt_pairs_lose_no_fuzzy_pair(spark, sf):
     whole = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms), 10**9), codes).collect()
     dealt = dedup.fuzzy_pairs(forms, dedup.candidates(dedup.block_keys(forms, codes), 5, filtered=True)).collect()
     assert whole and sorted(map(tuple, whole)) == sorted(map(tuple, dealt))
+
+
+def test_countries_and_samples(spark):
+    df = spark.createDataFrame([("KE",), ("vn",), ("Germany",), ("Atlantis",), ("Atlantis",), (None,), ("Nowhere land 12",)], "COUNTRY string")
+    roles = {"COUNTRY": "country"}
+    got = {r["rule_id"]: r["violations"] for r in quality.row_results(df, roles).collect()}
+    assert (got["C01"], got["C02"]) == (3, 1)
+    shown = quality.samples(df, roles, "COUNTRY", "C01").collect()
+    assert {r["value"] for r in shown} == {"At******", "No***** **** **"} and all(r["hint"] for r in shown)
+    assert {r["value"] for r in quality.samples(df, roles, "COUNTRY", "C01", n=1, width=4, mask=False).collect()} < {"Atla", "Nowh"}
+    assert quality.samples(df.limit(0), roles, "COUNTRY", "C01").collect() == []
+
+
+def test_sides_and_words(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import insight
+
+    df = spark.createDataFrame([("KUNDEN", ["x"]), ("DATA", ["lifnr", "kreditor"]), ("CUST", ["vendor"]), ("CUST", None), (None, None), ("", [None, "AP_no"])], "t string, names array<string>")
+    assert [r["side"] for r in insight.partner_side(df, "t", "names").collect()] == ["customer", "supplier", "both", "customer", "customer", "supplier"]
+    names = spark.createDataFrame([("CUST_ID",), ("custName",), ("UST-IDNR",), ("",), (None,)], "n string")
+    assert [r[0] for r in names.select(insight.expand_identifier(F.col("n"))).collect()] == ["cust id customer identifier number", "cust name customer", "ust idnr vat tax number identification number", "", None]

@@ -127,27 +127,54 @@ def personal_data_record(columns: DataFrame) -> DataFrame:
     return columns.groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("columns"))
 
 
-#: Words that put a table on one side of a business, with their weights.
-SIDE_WORDS = {"customer": {"CUST": 2, "KUNNR": 2, "SALES": 1, "KNVV": 2, "KNB1": 2, "DEBTOR": 2}, "supplier": {"VEND": 2, "SUPPL": 2, "LIFNR": 2, "LFB1": 2, "LFM1": 2, "PURCH": 1}}
+#: Parts of names that put a table on one side of a business.
+SIDE_WORDS = {
+    "customer": ["CUST", "KUNNR", "KUNDE", "CLIENT", "DEBITOR", "DEBTOR", "RECEIVABLE", "BUYER", "AR_"],
+    "supplier": ["VEND", "LIFNR", "SUPPLIER", "LIEFERANT", "KREDITOR", "CREDITOR", "PAYABLE", "SELLER", "AP_"],
+}
 
 
-def partner_side(df: DataFrame, text: str) -> DataFrame:
-    """Adds side: customer, supplier, both (the weaker score is at least half of the stronger) or none."""
-    score = lambda words: sum((F.when(F.upper(text).contains(w), n).otherwise(0) for w, n in words.items()), F.lit(0))
+def partner_side(df: DataFrame, table: str, columns: str | None = None) -> DataFrame:
+    """Adds side: customer, supplier or both (the weaker score is at least half of the stronger). Every word counts two in the table's
+    name and one in each of the names of ``columns`` (an array); without any, or with a null name, it is customer."""
+    names = F.coalesce(F.col(columns), F.array()) if columns else F.array().cast("array<string>")
+
+    def score(words: list[str]):
+        hits = lambda text: sum((F.contains(F.upper(text), F.lit(w)).cast("int") for w in words), F.lit(0))
+        return F.coalesce(2 * hits(F.col(table)), F.lit(0)) + F.aggregate(names, F.lit(0), lambda n, c: n + F.coalesce(hits(c), F.lit(0)))
+
     a, b = score(SIDE_WORDS["customer"]), score(SIDE_WORDS["supplier"])
-    side = F.when((a == 0) & (b == 0), "none").when(F.least(a, b) * 2 >= F.greatest(a, b), "both").when(a > b, "customer").otherwise("supplier")
-    return df.withColumn("side", side)
+    weaker, stronger = F.least(a, b), F.greatest(a, b)
+    return df.withColumn("side", F.when((weaker > 0) & (2 * weaker >= stronger), "both").when(b > a, "supplier").otherwise("customer"))
+
+
+#: Short forms in column names and the words behind them.
+NAME_WORDS = {
+    "cust": "customer", "custno": "customer number", "kd": "customer", "kunde": "customer", "no": "number", "nr": "number", "num": "number", "nbr": "number", "id": "identifier number",
+    "addr": "address", "adr": "address", "strasse": "street", "str": "street", "strt": "street", "tel": "telephone", "phn": "phone", "ph": "phone", "mob": "mobile phone",
+    "ctry": "country", "cntry": "country", "cty": "city", "zip": "postal code", "pstl": "postal", "plz": "postal code", "nm": "name", "nme": "name", "curr": "currency", "ccy": "currency",
+    "pmt": "payment", "pay": "payment", "trm": "terms", "lang": "language", "lng": "language", "eml": "e-mail", "acct": "account", "acc": "account", "grp": "group", "cd": "code",
+    "typ": "type", "vend": "vendor supplier", "sup": "supplier", "vat": "tax number vat", "tin": "tax number", "ein": "tax number", "dt": "date", "desc": "description",
+    "firmenname": "company name organization name", "firma": "company organization name", "kundenname": "customer name organization name", "name1": "organization name 1",
+    "zusatz": "second name line additional name", "namenszusatz": "second name line additional name", "name2": "organization name 2 second name line",
+    "ust": "vat tax number", "idnr": "identification number", "ustid": "vat tax number", "ustidnr": "vat identification number tax number", "steuernummer": "tax number",
+    "steuer": "tax", "kundennummer": "customer number", "debitor": "customer", "hausnr": "house number", "hausnummer": "house number", "ort": "city", "stadt": "city",
+    "land": "country", "postleitzahl": "postal code", "mail": "e-mail address", "telefon": "telephone number", "sprache": "language", "waehrung": "currency",
+    "zahlungsbed": "payment terms", "zahlungsbedingung": "payment terms", "zahlungsbedingungen": "payment terms",
+}
 
 
-#: Short forms in column names.
-NAME_WORDS = {"CUST": "customer", "NM": "name", "ADDR": "address", "NO": "number", "NUM": "number", "TEL": "telephone", "CTRY": "country", "DT": "date", "AMT": "amount", "QTY": "quantity", "STR": "street"}
+def identifier_words(c):
+    """A column name as lower-case words: split before capitals and at underscores, dashes, dots and blanks."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), r"[_\-.\s]+", " ")))
 
 
 def expand_identifier(c):
-    """A column name as words: split at underscores and capitals, short forms written out."""
-    words = F.split(F.upper(F.regexp_replace(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1_$2"), r"[_\s\-]+", "_")), "_")
+    """The words of a column name, and behind them once each what its short forms stand for."""
+    words = identifier_words(c)
     known = F.create_map(*[x for k, v in NAME_WORDS.items() for x in (F.lit(k), F.lit(v))])
-    return F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.coalesce(known[w], F.lower(w))), " ")
+    extra = F.array_distinct(F.filter(F.transform(F.split(words, " "), lambda w: known[w]), lambda x: x.isNotNull()))
+    return F.array_join(F.concat(F.array(words), extra), " ")
 
 
 def stale_columns(old: list[str], new: list[str]) -> list[str]:

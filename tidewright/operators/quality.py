@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import alnum, full_match, trim_to_null
-from tidewright.plans.quality_rules import BY_ID, RULES, WEIGHTS, iso_country, role_by_name
+from tidewright.plans.quality_rules import DIMENSION, HINTS, MIXED_CHECKS, SEVERITY, SHARED_CHECKS, VALUE_CHECKS, WEIGHTS, checks_of, iso_country, role_by_name
 
 #: Columns whose rules share one scan.
 BATCH = 12
@@ -26,7 +26,7 @@ def column_roles(df: DataFrame, keys: list[str] = ()) -> dict[str, str]:
     roles = {c: "key" if c.lower() in lower else role_by_name(c) for c in df.columns}
     open_ = [c for c, r in roles.items() if r is None]
     if open_:
-        sample = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in open_]).limit(ROLE_SAMPLE).collect()
+        sample = df.orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in open_]).limit(ROLE_SAMPLE).collect()
         for c in open_:
             values = [r[c].strip() for r in sample if r[c] and r[c].strip()]
             mails = sum("@" in v and "." in v.rpartition("@")[2] and " " not in v for v in values)
@@ -44,11 +44,11 @@ def row_results(df: DataFrame, roles: dict[str, str]) -> DataFrame:
         aggs, cells = [], []
         for c in names[i : i + BATCH]:
             value = F.col(f"`{c}`").cast("string")
-            for rule in RULES:
-                if rule.kind == "row" and rule.applies(roles[c]) and (cond := rule.violation(value, country)) is not None:
+            for rule in checks_of(roles[c]):
+                if rule in VALUE_CHECKS and (cond := VALUE_CHECKS[rule](value, country)) is not None:
                     n = len(aggs)
                     aggs += [F.count(value).alias(f"c{n}"), F.count_if(value.isNotNull() & F.coalesce(cond, F.lit(False))).alias(f"v{n}")]
-                    cells.append(F.struct(F.lit(c).alias("column_name"), F.lit(rule.rule_id).alias("rule_id"), F.col(f"c{n}").alias("checked"), F.col(f"v{n}").alias("violations")))
+                    cells.append(F.struct(F.lit(c).alias("column_name"), F.lit(rule).alias("rule_id"), F.col(f"c{n}").alias("checked"), F.col(f"v{n}").alias("violations")))
         if aggs:
             parts.append(df.agg(*aggs).select(F.inline(F.array(*cells))))
     return reduce(DataFrame.unionByName, parts)
@@ -64,10 +64,10 @@ def unique_form(value, role: str):
 def unique_results(df: DataFrame, roles: dict[str, str]) -> DataFrame | None:
     """The same for uniqueness: checked are the rows with a normal form, violations those that share it."""
     cells = [
-        F.struct(F.lit(c).alias("column_name"), F.lit(r.rule_id).alias("rule_id"), unique_form(F.col(f"`{c}`").cast("string"), role).alias("norm"))
+        F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rule_id"), unique_form(F.col(f"`{c}`").cast("string"), role).alias("norm"))
         for c, role in roles.items()
-        for r in RULES
-        if r.kind == "unique" and r.applies(role)
+        for r in checks_of(role)
+        if r in SHARED_CHECKS
     ]
     if not cells:
         return None
@@ -81,11 +81,11 @@ def mixture_results(df: DataFrame, roles: dict[str, str]) -> DataFrame | None:
     least 2 of them and 1% of the checked rows. One scan counts every variant and, for each possible lead, the others."""
     out = []
     for c, role in roles.items():
-        for rule in RULES:
-            if rule.kind != "mixture" or not rule.applies(role):
+        for rule in checks_of(role):
+            if rule not in MIXED_CHECKS:
                 continue
             value = F.col(f"`{c}`").cast("string")
-            tests = [F.coalesce(t(value), F.lit(False)) for t in rule.variants.values()]
+            tests = [F.coalesce(t(value), F.lit(False)) for t in MIXED_CHECKS[rule].values()]
             some = reduce(lambda a, b: a | b, tests)
             row = df.agg(F.count(value).alias("checked"), *[F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests)], *[F.count_if(some & ~t).alias(f"o{i}") for i, t in enumerate(tests)])
             k = range(len(tests))
@@ -93,7 +93,7 @@ def mixture_results(df: DataFrame, roles: dict[str, str]) -> DataFrame | None:
             other = F.coalesce(*[F.when(F.col(f"n{i}") == top, F.col(f"o{i}")) for i in k])
             used = sum((F.when(F.col(f"n{i}") > 0, 1).otherwise(0) for i in k), F.lit(0))
             real = (used > 1) & (other >= F.greatest(F.lit(2.0), 0.01 * F.col("checked")))
-            out.append(row.select(F.lit(c).alias("column_name"), F.lit(rule.rule_id).alias("rule_id"), "checked", F.when(real, other).otherwise(0).cast("bigint").alias("violations")))
+            out.append(row.select(F.lit(c).alias("column_name"), F.lit(rule).alias("rule_id"), "checked", F.when(real, other).otherwise(0).cast("bigint").alias("violations")))
     return reduce(DataFrame.unionByName, out) if out else None
 
 
@@ -111,8 +111,8 @@ def assess(df: DataFrame, keys: list[str] = (), roles: dict[str, str] | None = N
         "column_name",
         entry(roles)[F.col("column_name")].alias("role"),
         "rule_id",
-        entry({k: r.dimension for k, r in BY_ID.items()})[rule].alias("dimension"),
-        entry({k: r.severity for k, r in BY_ID.items()})[rule].alias("severity"),
+        entry(DIMENSION)[rule].alias("dimension"),
+        entry(SEVERITY)[rule].alias("severity"),
         "checked",
         "violations",
         F.round(F.when(F.col("checked") > 0, F.col("violations") / F.col("checked")).otherwise(0.0), 4).alias("rate"),
@@ -142,9 +142,21 @@ def history_change(history: DataFrame, table: str, number: str, score: str) -> D
 def flag_rows(df: DataFrame, column: str, rule_id: str, country: str | None = None) -> DataFrame:
     """The rows that break a row rule, for drilling down; works on streams too."""
     value = F.col(f"`{column}`").cast("string")
-    cond = BY_ID[rule_id].violation(value, iso_country(F.col(f"`{country}`")) if country else None)
+    cond = VALUE_CHECKS[rule_id](value, iso_country(F.col(f"`{country}`")) if country else None)
     return df.where(value.isNotNull() & F.coalesce(cond, F.lit(False)))
 
 
 def looks_like_email(c):
     return full_match(F.trim(c), r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}")
+
+
+def samples(df: DataFrame, roles: dict[str, str], column: str, rule_id: str, n: int = 5, width: int = 40, mask: bool = True) -> DataFrame:
+    """value, hint: up to n different values that break a row check, by a hash so that they are the same every time; cut to ``width``
+    characters and masked (letters and digits but the first two become *) unless told otherwise."""
+    country = next((c for c, r in roles.items() if r == "country"), None)
+    found = flag_rows(df, column, rule_id, country).select(F.col(f"`{column}`").cast("string").alias("value")).distinct()
+    chosen = found.orderBy(F.xxhash64("value"), "value").limit(n)
+    shown = F.left("value", F.lit(width))
+    if mask:
+        shown = F.concat(F.left("value", F.lit(2)), F.regexp_replace(F.substring("value", 3, width - 2), r"[\p{L}\p{N}]", "*"))
+    return chosen.select(shown.alias("value"), F.lit(HINTS[DIMENSION[rule_id]]).alias("hint"))

@@ -222,7 +222,7 @@ def lookup_unmatched(spark, sf):
 
 
 def lookup_draft_groups(spark, sf):
-    return lookup.draft_groups(_extract(spark, sf), "COUNTRY", qr.COUNTRY_CODES, qr.COUNTRY_NAMES)
+    return lookup.draft_groups(_extract(spark, sf), "COUNTRY", qr.country_codes(), qr.COUNTRY_NAMES)
 
 
 def lookup_evidence(spark, sf):
@@ -260,70 +260,77 @@ _CONFORMITY = " UNION ALL ".join(
     for n, p in profile.PATTERNS.items()
 )
 _HINTED = " OR ".join(f"(pattern = '{n}' AND regexp_matches(upper(column_name), {lit(h)}))" for n, h in profile.HINTS.items())
-_ISO = f"CASE WHEN k IN ({lits(qr.COUNTRY_CODES)}) THEN k " + " ".join(f"WHEN k = {lit(n)} THEN {lit(c)}" for n, c in qr.COUNTRY_NAMES.items()) + " END"
 _CONTROL = r"[\x00-\x1f\x7f-\x9f\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+#: The ISO 3166 two-letter codes, by first letter.
+_ISO_SHAPE = (
+    "A[DEFGILMOQRSTUWXZ]|B[ABDEFGHIJLMNOQRSTVWYZ]|C[ACDFGHIKLMNORUVWXYZ]|D[EJKMOZ]|E[CEGHRST]|F[IJKMOR]|G[ABDEFGHILMNPQRSTUWY]|H[KMNRTU]|I[DELMNOQRST]|"
+    "J[EMOP]|K[EGHIMNPRWYZ]|L[ABCIKRSTUVY]|M[ACDEFGHKLMNOPQRSTUVWXYZ]|N[ACEFGILOPRUZ]|OM|P[AEFGHKLMNRSTWY]|QA|R[EOSUW]|S[ABCDEGHIJKLMNORSTVXYZ]|"
+    "T[CDFGHJKLMNORTVWZ]|U[AGMSYZ]|V[ACEGINU]|W[FS]|Y[ET]|Z[AMW]"
+)
+_IS_CODE = f"regexp_full_match({{}}, '{_ISO_SHAPE}')".format
+_ISO = f"CASE WHEN {_IS_CODE('k')} THEN k " + " ".join(f"WHEN k = {lit(n)} THEN {lit(c)}" for n, c in qr.COUNTRY_NAMES.items()) + " END"
 
 
 def _alnum(c):
     return f"upper(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
 
 
-def _digits(c):
-    return f"regexp_replace({c}, '[^0-9]', '', 'g')"
-
-
-def _fits(value, patterns):
-    return "CASE iso " + " ".join(f"WHEN {lit(c)} THEN NOT regexp_full_match({value}, {lit(p)})" for c, p in patterns.items()) + " ELSE false END"
+def _by_country(column, shapes):
+    """A table of shapes per country, looked up with the row's country."""
+    pairs = ", ".join(f"({lit(code)}, {lit(shape)})" for code, shape in shapes.items())
+    return f"EXISTS (SELECT 1 FROM (VALUES {pairs}) AS shapes(code, shape) WHERE code = iso AND NOT regexp_full_match({column}, shape))"
 
 
-def _date(c, fmt, shape):
-    return f"CASE WHEN regexp_full_match(trim({c}, ' '), {lit(shape)}) THEN try_strptime(trim({c}, ' '), '{fmt}') END"
+_STRP = {"yyyy-M-d": "%Y-%m-%d", "d.M.yyyy": "%d.%m.%Y", "d/M/yyyy": "%d/%m/%Y", "M/d/yyyy": "%m/%d/%Y", "yyyyMMdd": "%Y%m%d", "d-MMM-yyyy": "%d-%b-%Y", "MMM d, yyyy": "%b %d, %Y", "yyyy/M/d": "%Y/%m/%d"}
 
 
-_STRP = {"yyyy-M-d": "%Y-%m-%d", "d.M.yyyy": "%d.%m.%Y", "d/M/yyyy": "%d/%m/%Y", "M/d/yyyy": "%m/%d/%Y", "yyyyMMdd": "%Y%m%d", "d-MMM-yyyy": "%d-%b-%Y", "MMM d, yyyy": "%b %d, %Y", "yyyy/M/d": "%Y/%m/%d"}
-_READS = {label: lambda c, p=p, f=f: f"({_date(c, _STRP[f], p)}) IS NOT NULL" for label, (p, f) in qr.DATE_FORMATS.items()}
-_DM, _MD = (lambda c: _date(c, "%d/%m/%Y", r"\d{1,2}/\d{1,2}/\d{4}")), (lambda c: _date(c, "%m/%d/%Y", r"\d{1,2}/\d{1,2}/\d{4}"))
-_T = lambda c: f"trim({c}, ' ')"
-RULE_SQL = {
-    "G01": lambda c: f"{c} <> {_T(c)}",
-    "G02": lambda c: f"{_T(c)} = ''",
-    "G03": lambda c: f"regexp_matches({c}, '{_CONTROL}')",
-    "G04": lambda c: f"lower({_T(c)}) IN ({lits(qr.PLACEHOLDERS)})",
-    "G05": lambda c: f"length({_T(c)}) >= 4 AND {_T(c)} = repeat(left({_T(c)}, 1), length({_T(c)}))",
-    "G06": lambda c: f"regexp_matches({c}, 'Ã.|â€|Â[\\x{{00A0}}-\\x{{00BF}}]|\\x{{FFFD}}')",
-    "G07": lambda c: f"regexp_matches({c}, '<[A-Za-z/][^>]*>|&[A-Za-z]{{2,6}};|&#[0-9]+;')",
-    "G08": lambda c: f"contains({c}, '  ')",
-    "G09": lambda c: f"length({c}) > 255",
-    "E01": lambda c: f"NOT regexp_full_match({_T(c)}, '[^@\\s,;]+@[^@\\s,;]+\\.[A-Za-z]{{2,}}')",
-    "E02": lambda c: f"regexp_matches({c}, '[;,]|\\s+and\\s+|\\s+/\\s+')",
-    "P01": lambda c: f"length({_digits(c)}) NOT BETWEEN 6 AND 15",
-    "P02": lambda c: f"regexp_matches({c}, '[A-Za-z]{{3,}}')",
-    "P03": lambda c: f"length({_digits(c)}) >= 6 AND {_digits(c)} = repeat(left({_digits(c)}, 1), length({_digits(c)}))",
-    "T01": lambda c: f"length({_alnum(c)}) < 5",
-    "T02": lambda c: _fits(_alnum(c), qr.TAX_PATTERNS),
-    "Z01": lambda c: _fits(f"upper({_T(c)})", qr.POSTAL_PATTERNS),
-    "Z02": lambda c: f"NOT regexp_full_match(upper({_T(c)}), '[A-Z0-9][A-Z0-9 \\-]{{1,9}}')",
-    "C01": lambda c: f"{fold(c)} NOT IN ({lits(sorted({*qr.COUNTRY_CODES, *qr.COUNTRY_NAMES}))})",
-    "C02": lambda c: f"{fold(c)} NOT IN ({lits(qr.COUNTRY_CODES)}) AND {fold(c)} IN ({lits(sorted(qr.COUNTRY_NAMES))})",
-    "N01": lambda c: f"length({_T(c)}) < 2",
-    "N02": lambda c: f"regexp_full_match({_T(c)}, '[0-9 .,/\\-]+')",
-    "N03": lambda c: f"contains({c}, '@')",
-    "N04": lambda c: f"regexp_matches({c}, '(?i)(^|[^a-z])(test|dummy|do not use|delete me|xxx)([^a-z]|$)')",
-    "N05": lambda c: f"{UP(c)} = {c} AND regexp_matches({c}, '[A-Z]{{4,}}')",
-    "D01": lambda c: "NOT (" + " OR ".join(f(c) for f in _READS.values()) + ")",
-    "D02": lambda c: f"({_DM(c)}) IS NOT NULL AND ({_MD(c)}) IS NOT NULL AND ({_DM(c)}) <> ({_MD(c)})",
-    "A01": lambda c: f"NOT regexp_full_match({_T(c)}, '[-+]?[0-9]{{1,3}}([., ][0-9]{{3}})*([.,][0-9]+)?|[-+]?[0-9]+([.,][0-9]+)?')",
-    "K02": lambda c: f"{_T(c)} = ''",
+def _date(value, label):
+    shape, form = qr.DATE_FORMATS[label]
+    return f"CASE WHEN regexp_full_match({value}, {lit(shape)}) THEN try_strptime({value}, '{_STRP[form]}') END"
+
+
+#: Of a value: v itself, t without outer blanks, up in capitals, d its digits, a its letters and digits in capitals, iso the row's country.
+_FACES = "{c} AS v, trim({c}, ' ') AS t, {up} AS up, regexp_replace({c}, '[^0-9]', '', 'g') AS d, upper(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g')) AS a, {iso} AS iso"
+_BROKEN = {
+    "G01": "v LIKE ' %' OR v LIKE '% '",
+    "G02": "length(v) > 0 AND replace(v, ' ', '') = '' OR v = ''",
+    "G03": rf"regexp_matches(v, '{_CONTROL}')",
+    "G04": "list_contains(string_split('n/a|na|null|none|unknown|tbd|?|??|???|-|--|---|xxx|test|dummy|not applicable|missing|undefined|nan|n.a.|tba', '|'), lower(t))",
+    "G05": "length(t) >= 4 AND replace(t, t[1], '') = ''",
+    "G06": r"regexp_matches(v, 'Ã.') OR contains(v, 'â€') OR regexp_matches(v, 'Â[\x{00A0}-\x{00BF}]') OR contains(v, chr(65533))",
+    "G07": "regexp_matches(v, '<[A-Za-z/][^>]*>') OR regexp_matches(v, '&[A-Za-z]{2,6};') OR regexp_matches(v, '&#[0-9]+;')",
+    "G08": "position('  ' IN v) > 0",
+    "G09": "length(v) >= 256",
+    "E01": r"NOT regexp_full_match(t, '[^@\s,;]+@[^@\s,;]+\.[A-Za-z]{2,}')",
+    "E02": r"regexp_matches(v, ';|,') OR regexp_matches(v, '\sand\s') OR regexp_matches(v, '\s/\s')",
+    "P01": "length(d) <= 5 OR length(d) >= 16",
+    "P02": "regexp_matches(v, '[A-Za-z][A-Za-z][A-Za-z]')",
+    "P03": "length(d) >= 6 AND replace(d, d[1], '') = ''",
+    "T01": "length(a) IN (0, 1, 2, 3, 4)",
+    "T02": _by_country("a", qr.TAX_PATTERNS),
+    "Z01": _by_country("upper(t)", qr.POSTAL_PATTERNS),
+    "Z02": r"NOT regexp_full_match(upper(t), '[A-Z0-9][A-Z0-9 \-]{1,9}')",
+    "C01": f"NOT {_IS_CODE('up')} AND up NOT IN ({lits(sorted(qr.COUNTRY_NAMES))})",
+    "C02": f"NOT {_IS_CODE('up')} AND up IN ({lits(sorted(qr.COUNTRY_NAMES))})",
+    "N01": "length(t) IN (0, 1)",
+    "N02": r"t <> '' AND regexp_replace(t, '[0-9 .,/\-]', '', 'g') = ''",
+    "N03": "strpos(v, '@') > 0",
+    "N04": "regexp_matches(' ' || lower(v) || ' ', '[^a-z](test|dummy|do not use|delete me|xxx)[^a-z]')",
+    "N05": f"{UP('v')} = v AND regexp_matches(v, '[A-Z]{{4}}')",
+    "D01": "coalesce(" + ", ".join(_date("t", label) for label in qr.DATE_FORMATS) + ") IS NULL",
+    "D02": f"({_date('t', 'dd/mm/yyyy')}) <> ({_date('t', 'mm/dd/yyyy')})",
+    "A01": "NOT (regexp_full_match(t, '[-+]?[0-9]{1,3}([., ][0-9]{3})*([.,][0-9]+)?') OR regexp_full_match(t, '[-+]?[0-9]+([.,][0-9]+)?'))",
+    "K02": "replace(v, ' ', '') = ''",
 }
+_READS = {label: lambda c, label=label: f"({_date(f"trim({c}, ' ')", label)}) IS NOT NULL" for label in qr.DATE_FORMATS}
 
 
-def _row_sql(source, roles):
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{r.rule_id}' AS rule_id, count({c}) AS checked, CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND coalesce({RULE_SQL[r.rule_id](c)}, false)) AS BIGINT) AS violations FROM {source}"
-        for c, role in roles.items()
-        for r in qr.RULES
-        if r.kind == "row" and r.applies(role)
-    )
+def _row_sql(source, roles, iso="CAST(NULL AS VARCHAR)"):
+    parts = []
+    for c, role in roles.items():
+        faces = f"(SELECT {_FACES.format(c=c, up=fold(c), iso=iso)} FROM {source} WHERE {c} IS NOT NULL)"
+        parts += [f"SELECT '{c}' AS column_name, '{r}' AS rule_id, count(*) AS checked, count_if(coalesce({_BROKEN[r]}, false))::BIGINT AS violations FROM {faces}" for r in qr.checks_of(role) if r in _BROKEN and (iso == "iso" or r not in ("T02", "Z01"))]
+    return " UNION ALL ".join(parts)
 
 
 _UNIQUE = {"T03": ("TAX_ID", f"nullif({_alnum('TAX_ID')}, '')"), "E03": ("EMAIL", "nullif(trim(lower(EMAIL), ' '), '')"), "K01": ("CUST_ID", "nullif(trim(CUST_ID, ' '), '')")}
@@ -343,11 +350,11 @@ def _mixture_sql(column, rule, tests):
       (SELECT o FROM ({counts}) ORDER BY n DESC, i LIMIT 1), (SELECT count(*) FILTER (WHERE n > 0) AS used FROM ({counts})), (SELECT count({column}) AS checked FROM {_DATED})"""
 
 
-_META = "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN '{{}}'".format(r.dimension) for r in qr.RULES) + " END"
-_SEVERITY = "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN '{r.severity}'" for r in qr.RULES) + " END"
+_META = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{d}'" for r, d in qr.DIMENSION.items()) + " END"
+_SEVERITY = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in qr.SEVERITY.items()) + " END"
 _ROLE = "CASE column_name " + " ".join(f"WHEN '{c}' THEN '{r}'" for c, r in ROLES.items()) + " END"
 _RESULTS = f"""SELECT column_name, {_ROLE} AS role, rule_id, {_META} AS dimension, {_SEVERITY} AS severity, checked, violations,
-  CASE WHEN checked > 0 THEN round(violations / checked, 4) ELSE 0 END AS rate FROM ({_row_sql(_JUDGED, ROLES)} UNION ALL {_UNIQUE_SQL})"""
+  CASE WHEN checked > 0 THEN round(violations / checked, 4) ELSE 0 END AS rate FROM ({_row_sql(_JUDGED, ROLES, "iso")} UNION ALL {_UNIQUE_SQL})"""
 _WEIGHT = "CASE WHEN checked = 0 THEN 0.0 WHEN severity = 'HIGH' THEN 3.0 WHEN severity = 'MEDIUM' THEN 2.0 ELSE 1.0 END::DOUBLE"
 _SCORE = f"round(CASE WHEN sum({_WEIGHT}) > 0 THEN 100 * (1 - sum({_WEIGHT} * rate) / sum({_WEIGHT})) ELSE 100 END, 1)"
 _LOOKUP = f"(SELECT {fold('s')} AS k, min(code) AS v FROM (SELECT unnest([code, alt_code, name]) AS s, code FROM ref_values WHERE domain = 'COUNTRY') WHERE s IS NOT NULL GROUP BY 1 HAVING {fold('s')} <> '')"
@@ -408,7 +415,7 @@ SQL = {
     "pii_classes": "SELECT column_name, CASE WHEN named = 'RESTRICTED_PII' OR telling THEN 'RESTRICTED_PII' ELSE named END AS classification FROM (SELECT n.*, coalesce(n_values >= 3 AND greatest(email, iban, card, national_id, phone) >= 0.6, false) AS telling FROM (VALUES "
     + ", ".join(f"('{c}', '{pii.by_name(c)}')" for c in COLUMNS)
     + f") n(column_name, named) LEFT JOIN ({_SHARES}) s ON s.column_name = n.column_name)",
-    "quality_row_rules": _row_sql(_JUDGED, ROLES),
+    "quality_row_rules": _row_sql(_JUDGED, ROLES, "iso"),
     "quality_unique_rules": _UNIQUE_SQL,
     "quality_mixture": _mixture_sql("EVENT_DATE", "D03", [f("EVENT_DATE") for f in _READS.values()])
     + " UNION ALL "
@@ -438,7 +445,7 @@ SQL = {
     "lookup_status": f"SELECT CASE WHEN x IS NULL THEN 'EMPTY' WHEN k IS NOT NULL AND v IN {_CODES15} THEN 'MAPPED' WHEN k IS NOT NULL THEN 'MAPPED_INVALID' WHEN x IN {_CODES15} THEN 'ALREADY_VALID' ELSE 'UNMAPPED' END AS status, count(*) AS n FROM (SELECT {_VALUE} AS x FROM lookalikes) l LEFT JOIN {_LOOKUP} t ON {fold('x')} = t.k GROUP BY 1",
     "lookup_unmatched": f"SELECT x AS value, count(*) AS n FROM (SELECT {_VALUE} AS x FROM lookalikes) l LEFT JOIN {_LOOKUP} t ON {fold('x')} = t.k WHERE x IS NOT NULL AND t.k IS NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 8",
     "lookup_draft_groups": f"""WITH c AS (SELECT {_VALUE} AS x, count(*) AS n FROM lookalikes GROUP BY 1), g AS (SELECT {fold('x')} AS key, arg_min(x, (-n, x)) AS spelling, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS n FROM c WHERE x IS NOT NULL GROUP BY 1)
-  SELECT key, spelling, spellings, n, CASE WHEN key IN ({lits(qr.COUNTRY_CODES)}) THEN key ELSE name_target END AS target, CASE WHEN key IN ({lits(qr.COUNTRY_CODES)}) THEN 'VALID_KEY' WHEN name_target IS NOT NULL THEN 'SYNONYM' ELSE 'UNKNOWN' END AS origin
+  SELECT key, spelling, spellings, n, CASE WHEN {_IS_CODE('key')} THEN key ELSE name_target END AS target, CASE WHEN {_IS_CODE('key')} THEN 'VALID_KEY' WHEN name_target IS NOT NULL THEN 'SYNONYM' ELSE 'UNKNOWN' END AS origin
   FROM (SELECT *, CASE {' '.join(f'WHEN key = {lit(k)} THEN {lit(v)}' for k, v in qr.COUNTRY_NAMES.items())} END AS name_target FROM g)""",
     "lookup_evidence": f"SELECT count(*) AS n_rows, count(x) AS filled, count(DISTINCT x) AS distincts, CAST(max(length(x)) AS INTEGER) AS longest, round(count(*) FILTER (WHERE length(x) <= 3) / nullif(count(x), 0), 4) AS fits, round(count(*) FILTER (WHERE x IN (SELECT code FROM ref_values WHERE domain = 'COUNTRY')) / nullif(count(x), 0), 4) AS in_domain FROM (SELECT {_VALUE} AS x FROM lookalikes)",
     "sample_by_hash": "SELECT rn, CUST_ID, CUST_NAME FROM lookalikes ORDER BY md5(CAST(rn AS VARCHAR)), CAST(rn AS VARCHAR) LIMIT 100",

@@ -110,7 +110,8 @@ def target_conflicts(spark, sf):
 def partner_sides(spark, sf):
     n = F.col("n_nationkey") % 4
     t = read(spark, sf, "nation").withColumn("t", F.when(n == 0, "CUST_SALES").when(n == 1, "LFB1_VENDOR").when(n == 2, "CUST_VEND").otherwise(F.col("n_name")))
-    return insight.partner_side(t, "t").select("n_nationkey", "side")
+    names = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("Lieferant"), F.lit("lifnr"), F.col("n_name"))).otherwise(F.array(F.col("n_name")))
+    return insight.partner_side(t.withColumn("names", names), "t", "names").select("n_nationkey", "side")
 
 
 def identifier_words(spark, sf):
@@ -257,8 +258,9 @@ SQL = {
     "vote_tally": """WITH g AS (SELECT user_id % 50 AS question, event_type AS answer, count(*) AS votes, sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS w FROM events GROUP BY 1, 2)
   SELECT question, answer, votes, answers FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY votes DESC, w DESC, answer) AS rk, CAST(sum(votes) OVER (PARTITION BY question) AS BIGINT) AS answers FROM g) WHERE rk = 1""",
     "target_conflicts": "SELECT target, source, confidence FROM (SELECT p_brand AS target, p_partkey AS source, p_size AS confidence, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rk FROM part) WHERE rk = 1",
-    "partner_sides": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' WHEN 2 THEN 'both' ELSE 'none' END AS side FROM nation",
-    "identifier_words": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'customer name ' || w WHEN 1 THEN 'telephone number ' || w ELSE w END AS words FROM (SELECT n_nationkey, lower(regexp_replace(n_name, '[_\\s\\-]+', ' ', 'g')) AS w FROM nation)",
+    # k % 4: CUST 2 | VEND 2 | CUST 2, VEND 2 | none; k % 3 = 0: two more for the supplier
+    "partner_sides": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN ['both', 'supplier', 'both', 'supplier'][n_nationkey % 4 + 1] ELSE ['customer', 'supplier', 'both', 'customer'][n_nationkey % 4 + 1] END AS side FROM nation",
+    "identifier_words": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'cust nm ' || w || ' customer name' WHEN 1 THEN 'tel no ' || w || ' telephone number' ELSE w END AS words FROM (SELECT n_nationkey, lower(regexp_replace(n_name, '[_\\s\\-]+', ' ', 'g')) AS w FROM nation)",
     "preflight_verdicts": "WITH s AS (SELECT CUST_NAME, CITY, POSTAL_CODE FROM lookalikes ORDER BY md5(CAST(rn AS VARCHAR)), CAST(rn AS VARCHAR) LIMIT 2000), r AS ("
     + " UNION ALL ".join(f"SELECT '{t}' AS target, count(*) AS n_rows, count(*) FILTER (WHERE {e} OR coalesce({_CTRL}, false)) AS errors, count(*) FILTER (WHERE v IS NOT NULL AND NOT ({e}) AND NOT {_CTRL}) AS filled FROM (SELECT {trimmed(c) if c != 'NULL' else 'CAST(NULL AS VARCHAR)'} AS v FROM s)" for t, c, e in _PF)
     + ") SELECT target, n_rows, errors, round(errors / n_rows, 4) AS rate, CASE WHEN errors / n_rows >= 0.5 THEN 'BLOCKER' WHEN errors / n_rows >= 0.05 THEN 'WARNING' WHEN filled = 0 THEN 'LOW_YIELD' ELSE 'OK' END AS verdict FROM r",

@@ -32,7 +32,11 @@ class _Files:
     def __init__(self, spark: SparkSession, base: str):
         self._jvm = spark.sparkContext._jvm
         self._base = base.rstrip("/")
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self._base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self._base).getFileSystem(conf)
+        # unlike FileSystem, FileContext renames over an existing file in one step
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self._base}/{name}")
@@ -52,10 +56,10 @@ class _Files:
         out = self._fs.create(self.at(temp))
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(self.at(name)):
-            self._fs.delete(self.at(name), False)
-        if not self._fs.rename(self.at(temp), self.at(name)):
-            raise DeliveryError(f"{name} could not be replaced")
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = self._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        self._context.rename(self._context.makeQualified(self.at(temp)), self._context.makeQualified(self.at(name)), overwrite)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self.at(name), True)
