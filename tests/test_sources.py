@@ -123,3 +123,18 @@ def test_streams(spark, tmp_path):
     stream = rules.violations(rules.read_landed(spark, str(tmp_path / "in"), "id string, z string"), "z", "Z02")
     rules.run_once(stream, str(tmp_path / "o"), str(tmp_path / "s"))
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["1"]
+
+
+def test_late_byte_and_quoted_short_row(spark, tmp_path):
+    late = tmp_path / "late.csv"
+    late.write_bytes(b"a,b\n" + b"x,plain\n" * 200_000 + "y,Müller\n".encode("cp1252"))
+    assert late.stat().st_size > land.detect.HEAD
+    for path in (str(late), f"file://{late}"):
+        df, details = land.read_delimited(spark, path)
+        assert [r["b"] for r in df.where("a = 'y'").collect()] == ["Müller"] and details["encoding"] == "cp1252"
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('a,b,c\n"x,y,z",1\n1,2,3,4\n"a ""q"", b",2,3\n')
+    df, _ = land.read_delimited(spark, f"file://{quoted}")
+    assert [(r["a"], r["b"], r["c"], r[land.CORRUPT]) for r in df.collect()] == [("x,y,z", "1", None, None), ("1", "2", "3", "1,2,3,4"), ('a "q", b', "2", "3", None)]
+    found = land.land(spark, f"file://{quoted}", str(tmp_path / "out"), tolerate_rejects=True)
+    assert (found.rows, found.rejected, found.bytes) == (2, 1, quoted.stat().st_size)

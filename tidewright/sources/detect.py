@@ -64,17 +64,18 @@ def unpack(path: str, member: str | None = None, limit: int = MAX_UNPACKED) -> t
     return name, data
 
 
-def encoding_of(head: bytes) -> tuple[str, str]:
-    """(encoding, basis): byte order mark, else many NULs, else valid UTF-8, else Windows-1252."""
+def encoding_of(head: bytes, whole: bool = False) -> tuple[str, str]:
+    """(encoding, basis): byte order mark, else many NULs, else valid UTF-8, else Windows-1252. Only the head decides, unless the whole
+    file is given: then all of it must be UTF-8."""
     for mark, name in ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")):
         if head.startswith(mark):
             return name, "mark"
     if head and head.count(0) > len(head) / 4:
         return ("utf-16-le" if head[1::2].count(0) >= head[::2].count(0) else "utf-16-be"), "nuls"
     try:
-        head[:HEAD].decode("utf-8")
+        (head if whole else head[:HEAD]).decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start < len(head) - 4:  # not just cut within a character
+        if whole or e.start < min(len(head), HEAD) - 4:  # not just cut within a character
             return "cp1252", "fallback"
     return "utf-8", "valid"
 

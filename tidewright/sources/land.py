@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import tempfile
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
@@ -65,6 +67,66 @@ def _put(spark: SparkSession, text: str, suffix: str) -> str:
     return path
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a file named by any URI that Hadoop knows, or by a plain path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        raise LandingError(f"there is no file {path}")
+    return fs, target
+
+
+def _chunks(spark: SparkSession, path: str, size: int):
+    fs, target = _file(spark, path)
+    stream = fs.open(target)
+    try:
+        while chunk := bytes(stream.readNBytes(size)):
+            yield chunk
+    finally:
+        stream.close()
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    return next(_chunks(spark, path, detect.HEAD), b"")
+
+
+class _Local:
+    """The file on this machine: itself, or a copy that is deleted afterwards; containers and workbooks are opened on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.copy = spark, path, None
+
+    def __enter__(self) -> str:
+        if os.path.exists(self.path):
+            return self.path
+        fs, target = _file(self.spark, self.path)
+        self.copy = os.path.join(tempfile.mkdtemp(prefix="tidewright-"), os.path.basename(self.path))
+        fs.copyToLocalFile(False, target, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{self.copy}"), True)
+        return self.copy
+
+    def __exit__(self, *_) -> None:
+        if self.copy:
+            os.remove(self.copy)
+            os.rmdir(os.path.dirname(self.copy))
+
+
+def _unpacked(spark: SparkSession, path: str, member: str | None = None) -> tuple[str, bytes]:
+    with _Local(spark, path) as local:
+        return detect.unpack(local, member)
+
+
+def valid_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of a file is UTF-8; all of it is read, by all executors."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+
+
+def cells_of(line, delimiter: str, quote: str = '"'):
+    """Cells of a delimited line; delimiters between quotes are none."""
+    q = re.escape(quote)
+    bare = F.regexp_replace(line, f"{q}(?:[^{q}]|{q}{q})*{q}", "") if quote else line
+    return F.size(F.split(bare, re.escape(delimiter)))
+
+
 def _all_text(df: DataFrame) -> DataFrame:
     """Every column as text: nested ones as JSON, empty as null."""
     out = []
@@ -81,13 +143,17 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     __rejected. Encoding and delimiter are detected."""
     name, packed = os.path.basename(path), path.lower().endswith((".gz", ".zip"))
     if packed:
-        name, head = detect.unpack(path, member)
+        name, head = _unpacked(spark, path, member)
+        encoding, basis = detect.encoding_of(head, whole=True)
     else:
-        with open(path, "rb") as f:
-            head = f.read(detect.HEAD)
-    encoding, basis = detect.encoding_of(head[: detect.HEAD])
-    direct = not packed and basis == "valid" and not skip  # Spark reads the file itself; only its head was looked at
-    text, lost = detect.transcode(head if packed or direct else detect.unpack(path)[1], encoding)
+        head = _head(spark, path)
+        encoding, basis = detect.encoding_of(head)
+        if basis == "valid" and not valid_utf8(spark, path):
+            encoding, basis = "cp1252", "fallback"
+    direct = not packed and basis == "valid" and not skip  # Spark reads the file itself
+    text, lost = detect.transcode(head if packed or direct else _unpacked(spark, path)[1], encoding)
+    if direct:
+        lost = 0  # every line is valid; the head may end within a character
     if skip:
         text = "".join(text.splitlines(keepends=True)[skip:])
     delimiter = delimiter or detect.delimiter_of(text[: detect.HEAD])
@@ -102,15 +168,14 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     for n in names:
         c = F.col(f"`{n}`")
         df = df.withColumn(n, F.when(~F.trim(c).isin(["", *null_tokens]), c))
-    width = len(names)
-    short = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), "\\" + delimiter if delimiter == "|" else delimiter)) <= width)
+    short = F.col(CORRUPT).isNotNull() & (cells_of(F.col(CORRUPT), delimiter, quote) <= len(names))
     return df.withColumn(CORRUPT, F.when(~short, F.col(CORRUPT))), {"encoding": encoding, "basis": basis, "delimiter": delimiter, "unreadable": lost}
 
 
 def read_json(spark: SparkSession, path: str, lines: bool, member: str | None = None) -> DataFrame:
     """Array or lines of objects; nested values as JSON text, columns are the union over all objects."""
     packed = path.lower().endswith((".zip", ".gz")) or member
-    where = _put(spark, detect.transcode(detect.unpack(path, member)[1], "utf-8")[0], ".json") if packed else path
+    where = _put(spark, detect.transcode(_unpacked(spark, path, member)[1], "utf-8")[0], ".json") if packed else path
     return _all_text(spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(where))
 
 
@@ -163,7 +228,8 @@ def _sheet_rows(path: str, sheet: str | None) -> list[list[str | None]]:
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 1) -> DataFrame:
     """A visible sheet as text; blank rows are dropped, the width is that of the header."""
-    rows = _sheet_rows(path, sheet)[header_row - 1 :]
+    with _Local(spark, path) as local:
+        rows = _sheet_rows(local, sheet)[header_row - 1 :]
     if not rows:
         raise LandingError("the sheet is empty")
     width = max((i for i, c in enumerate(rows[0], 1) if (c or "").strip()), default=0)
@@ -190,11 +256,15 @@ def preview(spark: SparkSession, path: str, n: int = 20, **options) -> list[dict
     return [r.asDict() for r in read(spark, path, **options).limit(n).collect()]
 
 
-def sha256(path: str) -> str:
+def _size(spark: SparkSession, path: str) -> int:
+    fs, target = _file(spark, path)
+    return fs.getFileStatus(target).getLen()
+
+
+def sha256(spark: SparkSession, path: str) -> str:
     h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(1 << 20):
-            h.update(chunk)
+    for chunk in _chunks(spark, path, 1 << 20):
+        h.update(chunk)
     return h.hexdigest()
 
 
@@ -220,7 +290,7 @@ def land(spark: SparkSession, path: str, out: str, expected_rows: int | None = N
         raise LandingError(f"{rows} rows, {expected_rows} expected")
     df.write.mode("overwrite").parquet(out)
     warnings = [f"{details['unreadable']} characters could not be read"] if details.get("unreadable") else []
-    return Evidence(os.path.basename(path), kind, sha256(path), os.path.getsize(path), rows, rejected, expected_rows, [c for c in df.columns if c != RN], details, warnings)
+    return Evidence(os.path.basename(path), kind, sha256(spark, path), _size(spark, path), rows, rejected, expected_rows, [c for c in df.columns if c != RN], details, warnings)
 
 
 def read_database(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, properties: dict | None = None) -> DataFrame:
