@@ -36,8 +36,6 @@ ALIASES = {
     },
     "COUNTRY": {"utd": "united", "un": "united", "rep": "republique", "uk": "united kingdom"},
 }
-#: Names of countries that come near an entry of the list by spelling and are not it.
-OTHER_NAMES = {"iceland", "australia", "slovenia", "slovakia", "romania", "niger", "nigeria", "indonesia", "iran", "iraq", "chile", "china", "columbia", "mali", "malta", "lebanon", "ukraine"}
 #: Values of these domains can name an entry twice, in parts set off by a sign.
 PARTED = {"COUNTRY"}
 
@@ -154,8 +152,6 @@ class Reference:
     def _soft(self, domain: str, text: str, known) -> tuple[str, float]:
         raw, numbers = words_of(text)
         whole = "".join(raw)
-        if domain == "COUNTRY" and whole in OTHER_NAMES:
-            return UNMATCHED, 0.0
         weights = self.words.get(domain, {})
         heavy = max(weights.values(), default=1.0)
         short = self.initials.get(domain, {})
@@ -201,12 +197,13 @@ def _distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([edits(x, y) for x, y in zip(a, b)], index=a.index, dtype="int32")
 
 
-def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """tokens (domain, token), vocabulary (domain, word, kind); gives (domain, token, word, sim) of all words a token may stand for."""
+def repair_tokens(tokens: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
+    """tokens (domain, token), vocabulary (domain, word, kind), its longest word; gives (domain, token, word, sim) of all words a token
+    may stand for. A token more than two letters longer than every word is near none."""
     variants, distance = F.pandas_udf("array<string>")(_variants), F.pandas_udf("int")(_distances)
     allowed = lambda c: F.when(F.length(c) < 4, 0).when(F.length(c) < 9, 1).otherwise(2)
     spread = lambda df, c: df.select("*", F.explode(variants(F.col(c), F.least(allowed(F.col(c)) + F.when(F.length(c) < 9, 1).otherwise(0), F.lit(2)))).alias("v"))
-    near = spread(tokens.where("length(token) between 3 and 60"), "token").join(spread(vocabulary, "word"), ["domain", "v"]).select("domain", "token", "word").distinct()
+    near = spread(tokens.where(F.length("token").between(3, longest + 2)), "token").join(spread(vocabulary, "word"), ["domain", "v"]).select("domain", "token", "word").distinct()
     near = near.withColumn("d", distance("token", "word")).where(F.col("d") <= allowed(F.col("word"))).select("domain", "token", "word", (1 - F.col("d") / F.length("word")).alias("sim"))
     heads = vocabulary.where("kind = 'word'").select("domain", "word", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.length("word") - 1, F.lit(3))), lambda n: F.substring("word", F.lit(1), n))).alias("token"))
     prefix = tokens.join(heads.where("token <> word"), ["domain", "token"]).select("domain", "token", "word", F.lit(0.9).alias("sim"))
@@ -231,8 +228,9 @@ def map_values(values: DataFrame, reference: DataFrame, stage) -> DataFrame:
     cut = texts.select("domain", "text", F.explode(F.array_distinct(F.concat(parts, F.array("text")))).alias("part"))
     letters = F.regexp_extract_all("part", F.lit("[a-z]+"), 0)
     tokens = stage.write(cut.select("domain", "text", F.explode(F.array_distinct(F.concat(letters, F.array(F.array_join(letters, ""))))).alias("token")).distinct(), "tokens")
-    vocabulary = values.sparkSession.createDataFrame(ref.vocabulary(), "domain string, word string, kind string")
-    repaired = repair_tokens(tokens.select("domain", "token").distinct(), vocabulary)
+    words = ref.vocabulary()
+    vocabulary = values.sparkSession.createDataFrame(words, "domain string, word string, kind string")
+    repaired = repair_tokens(tokens.select("domain", "token").distinct(), vocabulary, max((len(w) for _, w, _ in words), default=0))
     known = tokens.join(repaired, ["domain", "token"]).groupBy("domain", "text").agg(F.collect_list(F.struct("token", "word", "sim")).alias("known"))
 
     def ranked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -108,6 +108,14 @@ def p7_true_values(spark, sf):
     return with_p(found).where("p >= 0.5").select(F.col("g").alias("dedup_cluster_id"), F.col("field").alias("column_name"), "value", F.round("p", 4).alias("p"))
 
 
+def p7_merged(spark, sf):
+    """The merged record of each group, field by field: the value the two-sided model holds most likely, and how many it holds true."""
+    stage = Stage(spark, "p7")
+    found = stage.write(survivors.facts(_run1(spark, sf), "dedup_cluster_id", "src_system", RUN1_FIELDS), "facts")
+    _, with_p = survivors.source_quality(found, stage)
+    return survivors.merged_fields(with_p(found)).select(F.col("g").alias("dedup_cluster_id"), F.col("field").alias("column_name"), "value", F.round("p", 4).alias("p"), "n_true")
+
+
 def p8_ids(spark, sf):
     docs = read(spark, sf, "documents")
     return docs.select("doc_id", tokens.encode(docs, "text").alias("ids"))
@@ -147,7 +155,7 @@ def p10_shared_amount(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(amount, "doc_id", "left").fillna(0, ["shared_chars"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_places, p3_found, p4_found, p4_unmatched, p4_values, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_places, p3_found, p4_found, p4_unmatched, p4_values, p5_found, p5_restored, p7_found, p7_source_quality, p7_true_values, p7_merged, p8_ids, p8_round_trip, p9_found, p9_alignments, p10_found, p10_shared_amount)}
 
 _LACK = "(trim({c}, ' ') IS NULL OR lower(trim({c}, ' ')) IN ('', '-', 'n/a', 'none', 'unknown', 'tbd'))"
 _P7 = [

@@ -128,3 +128,13 @@ def source_quality(found: DataFrame, stage: Stage, iterations: int = 20, toleran
         if moved < tolerance:
             break
     return [(f, s, a, b) for (f, s), (a, b) in sorted(quality.items())], with_p
+
+
+def merged_fields(judged: DataFrame) -> DataFrame:
+    """judged: facts with p. Columns g, field, value, p, n_true: of each group and field the value most likely true (ties: the smaller
+    one), and how many values are judged true (p of 0.5 and more); a field none of whose values is judged true still gives its best.
+
+    One aggregation with map-side partials; nothing is gathered, however many values a group has.
+    """
+    best = judged.groupBy("g", "field").agg(F.min(F.struct((-F.col("p")).alias("q"), "value")).alias("b"), F.sum((F.col("p") >= 0.5).cast("bigint")).alias("n_true"))
+    return best.select("g", "field", F.col("b.value").alias("value"), (-F.col("b.q")).alias("p"), "n_true")
