@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -38,29 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors' Python workers this package, once per application."""
     context = spark.sparkContext
     if getattr(context, "_tidewright_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidewright-"), "tidewright.zip")
+    folder = tempfile.mkdtemp(prefix="tidewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tidewright.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(package):
+        for where, _, files in os.walk(package):
             for f in files:
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(where, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(path)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":  # the default; long texts need smaller batches
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if _BATCH not in spark.conf.getAll:  # nobody chose a size; long texts need smaller batches than the default
+        spark.conf.set(_BATCH, "2000")
     context._tidewright_shipped = True
 
 
 class Stage:
     """Tables an iterative operator writes to the shared folder, so that its lineage stays short and a lost executor costs no rework.
 
-    A table lives until ``drop`` names it. What the returned result still reads must not be dropped.
+    A table lives until ``drop`` names it, at the longest until the application ends. What the returned result still reads must not
+    be dropped.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -68,6 +76,8 @@ class Stage:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
     def path(self, label: str) -> str:
         self._n += 1
