@@ -564,6 +564,11 @@ def _spell(streets: DataFrame, stage) -> DataFrame:
     return stage.write(_fill_town(_fill_kind(spelled_)), "spelled")
 
 
+def _tidy(spark) -> None:
+    """Many small jobs leave broadcasts and shuffle files that Spark drops only once the driver's JVM has collected their handles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: str, stage, repaired: DataFrame | None = None) -> DataFrame:
     """Columns key, town, name, kind, number: the normal form of each record's address; records without key, number, name or town are
     left out; repeated rows count once.
@@ -584,6 +589,7 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     streets = stage.write(lines.groupBy("place", "tokens").agg(F.sum("n").alias("n")), "streets")
 
     spark = rows.sparkSession
+    _tidy(spark)
     seeds = spark.createDataFrame([(k,) for k in sorted(ALL_KINDS)], "kind string")
     kinds = stage.write(seeds.unionByName(mined_kinds(streets)).distinct(), "kinds")
     split = F.pandas_udf("array<struct<name:string,kind:string>>")(_split_with)
@@ -600,6 +606,7 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     for _ in range(MAX_ROUNDS):
         read = stage.write(read_streets(streets, kinds, short, usual), "read")
         done = _spell(read, stage)
+        _tidy(spark)
         # mined again, on the normalised names
         same = done.where("place <> ''").join(read.select("place", "tokens", F.col("name").alias("was")), ["place", "tokens"]).where("name <> was")
         names = same.groupBy(F.col("place").alias("town"), F.col("was").alias("name")).agg(F.min("name").alias("now"))
