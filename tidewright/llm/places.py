@@ -19,12 +19,16 @@ customers is one entry. Near words meet through deletion neighbourhoods, as hash
 from __future__ import annotations
 
 import functools
+import itertools
+import math
+import operator
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +56,8 @@ CHANCE = 0.05
 SLIP_SHARE = 0.15
 #: Rounds after which something must be wrong: each one removes words, so the mining ends long before.
 MAX_ROUNDS = 50
+#: Near pairs of one scope up to which a task settles the scope in its memory; larger ones are settled as tables, round by round.
+SCOPE_PAIRS = 200_000
 #: A postal code in front of a town: a word with a digit, perhaps in two parts.
 _CODE = re.compile(r"((?:[a-z]{1,3}-)?(?=[a-z]{0,2}\d)[a-z0-9]{1,7}(?:-\d{2,4}(?![a-z0-9]))?(?:\s(?:(?=[a-z]{0,2}\d)[a-z0-9]{2,4}|[a-z]{2})(?=\s))?)\s+(?=[a-z�?])")
 _LEADING_CODE = re.compile(r"\s*" + _CODE.pattern)
@@ -301,7 +307,8 @@ def near_words(words: DataFrame, leads: DataFrame) -> DataFrame:
     able = words.where(length >= 3).join(reach, "scope").select("id", "scope", "word", near_length(4, 1).alias("one"), near_length(9, 2).alias("two")).where("one or two")
     given = able.select("id", F.explode(hashes(scope, "word", "two")).alias("h"))
     asked = leads.where(length >= 4).select(F.col("id").alias("lead_id"), F.explode(hashes(scope, "word", length >= 9)).alias("h"))
-    ids = given.join(asked, "h").where("id <> lead_id").select("id", "lead_id").distinct()
+    # merged: the planner takes the many hashes for as small as the words, and would collect them in the driver to broadcast them
+    ids = given.hint("merge").join(asked, "h").where("id <> lead_id").select("id", "lead_id").distinct()
     met = ids.join(words.select("id", "scope", "word", "n"), "id").join(leads.select(F.col("id").alias("lead_id"), F.col("word").alias("lead"), F.col("n").alias("m"), F.col("scope").alias("s")), "lead_id")
     met = met.where("word <> lead and scope = s").withColumn("rough", F.levenshtein("word", "lead"))
     gone = F.col("word").rlike(_GONE)
@@ -317,7 +324,7 @@ def near_pairs(forms: DataFrame, stage) -> DataFrame:
     the many slips of a common word aren't paired with each other: every word with every established lead (MIN_SUPPORT and more), then
     the words near none of those with each other. A word with an established lead never needs a rarer one."""
     first = stage.write(near_words(forms.where("words"), forms.where("leads").where(F.col("n") >= MIN_SUPPORT)), "near")
-    rest = forms.join(first.select("scope", "word").distinct(), ["scope", "word"], "left_anti").where(F.col("n") < MIN_SUPPORT)
+    rest = stage.write(forms.join(first.select("scope", "word").distinct(), ["scope", "word"], "left_anti").where(F.col("n") < MIN_SUPPORT), "rest")
     single = near_words(rest.where("words"), rest.where("leads"))
     return stage.write(first.unionByName(single), "pairs")
 
@@ -333,15 +340,18 @@ def _stands(n, m):
     return excess * excess / (total * SLIP_SHARE * (1 - SLIP_SHARE)) >= SIGNIFICANT
 
 
-def chances(forms: DataFrame, near: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """How many leads each scope has, and established ones (scope, all, some); and by class of length of the lead the share of near
-    ones that both stand among all pairs of an established word with an established lead, one more counted than was seen."""
+def chances(forms: DataFrame, near: DataFrame) -> tuple[DataFrame, dict[int, float], int]:
+    """How many leads each scope has, and established ones (scope, all, some); by class of length of the lead the share of near
+    ones that both stand among all pairs of an established word with an established lead, one more counted than was seen; and the
+    number of near pairs of the scope that has the most."""
     frequent, size_class = F.col("n") >= MIN_SUPPORT, _length_class(F.col("word"))
     some = lambda c: F.sum(c.cast("bigint"))
     sizes = forms.groupBy("scope").agg(some(F.col("leads")).alias("all"), some(F.col("leads") & frequent).alias("some"), some(F.col("words") & frequent).alias("own"), *[some(F.col("leads") & frequent & (size_class == c)).alias(f"k{c}") for c in (0, 1, 2)])
     tried = sizes.agg(*[F.sum(F.col(f"k{c}") * F.greatest(F.col("own") - 1, F.lit(0)) / 2) for c in (0, 1, 2)]).first()
-    met = near.where(frequent & (F.col("m") >= F.col("n")) & _stands(F.col("n"), F.col("m"))).agg(*[some(_length_class(F.col("lead")) == c) for c in (0, 1, 2)]).first()
-    return sizes.select("scope", "all", "some"), {c: min(1.0, ((met[c] or 0) + 1) / (float(tried[c] or 0) + 1)) for c in (0, 1, 2)}
+    stand = frequent & (F.col("m") >= F.col("n")) & _stands(F.col("n"), F.col("m"))
+    pairs = near.groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"), *[some(stand & (_length_class(F.col("lead")) == c)).alias(f"m{c}") for c in (0, 1, 2)])
+    met = pairs.agg(*[F.sum(f"m{c}") for c in (0, 1, 2)], F.max("pairs")).first()
+    return sizes.select("scope", "all", "some"), {c: min(1.0, ((met[c] or 0) + 1) / (float(tried[c] or 0) + 1)) for c in (0, 1, 2)}, met[3] or 0
 
 
 def spelling_rewrites(near: DataFrame, rates: dict[int, float]) -> DataFrame:
@@ -368,7 +378,8 @@ def settle(forms: DataFrame, stage, near: DataFrame | None = None) -> DataFrame:
     (scope, word, n, perhaps words and leads: whether it may be rewritten, and be a lead).
 
     Which words are near each other is found once (or given); each round weighs those that are left by the counts after the rewrites
-    so far. Every round removes at least one word, so it ends.
+    so far. Every round removes at least one word, so it ends. Scopes don't concern each other: all rounds of a scope run in one task,
+    those of a scope with more than SCOPE_PAIRS pairs over tables.
     """
     for c in ("words", "leads"):
         if c not in forms.columns:
@@ -376,8 +387,76 @@ def settle(forms: DataFrame, stage, near: DataFrame | None = None) -> DataFrame:
     if near is None:
         forms = stage.write(forms.select(F.monotonically_increasing_id().alias("id"), "scope", "word", "n", "words", "leads"), "forms")
         near = near_pairs(forms, stage)
-    sizes, rates = chances(forms, near)
-    near, mapping = near.join(sizes, "scope"), None
+    sizes, rates, most = chances(forms, near)
+    near, large = near.join(sizes, "scope"), None
+    if most > SCOPE_PAIRS:
+        wide = stage.write(near.groupBy("scope").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SCOPE_PAIRS).select("scope"), "wide")
+        large = settle_large(near.join(wide, "scope", "left_semi"), rates, stage)
+        near = near.join(wide, "scope", "left_anti")
+    rows = near.select("scope", "word", "lead", "d", "n", "m", "all", "some").repartition("scope").sortWithinPartitions("scope")
+    small = stage.write(rows.mapInPandas(_settler(rates), "scope string, word string, lead string"), "settled")
+    return small if large is None else small.unionByName(large)
+
+
+def settled(pairs: list[tuple], rates: dict[int, float]) -> dict[str, str]:
+    """pairs (scope, word, lead, d, n, m, all, some) of one scope: the lead at the end of each rewritten word, as ``settle_large``."""
+    near: dict[str, list[tuple[int, str]]] = {}
+    count: dict[str, int] = {}
+    for _, word, lead, d, n, m, every, some in pairs:
+        near.setdefault(word, []).append((d, lead))
+        count[word], count[lead] = n, m
+
+    def good(word: str, lead: str) -> bool:
+        n, m = count[word], count[lead]
+        if n > m or n == m and lead > word:
+            return False
+        excess = max(n - (n + m) * SLIP_SHARE, 0.0)
+        if excess * excess / ((n + m) * SLIP_SHARE * (1 - SLIP_SHARE)) >= SIGNIFICANT:
+            return False
+        rate = rates[0 if len(lead) < 6 else 1 if len(lead) < 9 else 2]
+        return (some if m >= MIN_SUPPORT else every) * rate <= CHANCE or 2 * (m * math.log(2 * m / (n + m)) + n * math.log(2 * n / (n + m))) > SIGNIFICANT
+
+    mapping: dict[str, str] = {}
+    while True:
+        found = {}
+        for word, leads in near.items():
+            if ranked := [(d, -count[lead], lead) for d, lead in leads if good(word, lead)]:
+                found[word] = min(ranked)[2]
+        if not found:
+            break
+        won: dict[str, int] = {}
+        for word, lead in found.items():
+            for _ in range(2):  # a lead that is rewritten in the same round
+                lead = found.get(lead, lead)
+            mapping[word] = lead
+            won[lead] = won.get(lead, 0) + count[word]
+        for lead, n in won.items():
+            count[lead] += n
+        near = {word: left for word, leads in near.items() if word not in found and (left := [x for x in leads if x[1] not in found])}
+    for word, lead in mapping.items():
+        while lead in mapping:
+            lead = mapping[lead]
+        mapping[word] = lead
+    return mapping
+
+
+def _settler(rates: dict[int, float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def settle_scopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in zip(*(b[c] for c in b.columns)))
+        out: list[tuple[str, str, str]] = []
+        for scope, pairs in itertools.groupby(rows, operator.itemgetter(0)):
+            out += [(scope, word, lead) for word, lead in settled(list(pairs), rates).items()]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["scope", "word", "lead"])
+                out = []
+        yield pd.DataFrame(out, columns=["scope", "word", "lead"])
+
+    return settle_scopes
+
+
+def settle_large(near: DataFrame, rates: dict[int, float], stage) -> DataFrame:
+    """near (scope, word, lead, d, n, m, all, some): the rounds of ``settle`` over tables."""
+    mapping = None
     for _ in range(MAX_ROUNDS):
         found = stage.write(spelling_rewrites(near, rates), "rewrites")
         if found.isEmpty():
@@ -544,16 +623,17 @@ def _spell(streets: DataFrame, stage) -> DataFrame:
     inside, of_town, of_kind = F.concat(F.lit("i"), "place", F.lit("|"), "kind"), F.concat(F.lit("p"), "place"), F.concat(F.lit("k"), "kind")
     place, kind = F.col("place") != "", F.col("kind") != ""
 
-    def part(rows: DataFrame, scope, words: bool, leads: bool) -> DataFrame:
-        return rows.groupBy(scope.alias("scope"), F.col("name").alias("word")).agg(F.sum("n").alias("n")).withColumns({"words": F.lit(words), "leads": F.lit(leads)})
+    def entry(scope, words: bool, leads: bool):
+        return F.struct(scope.alias("scope"), F.lit(words).alias("words"), F.lit(leads).alias("leads"))
 
-    full, forms = streets.where(place & kind), None
-    forms = part(full, inside, True, True)
-    for lacks, scope, leads in ((place & ~kind, of_town, True), (~place & kind, of_kind, False)):
-        poor = part(streets.where(lacks), scope, True, leads)
-        others = part(full, scope, False, True).join(poor.select("scope").distinct(), "scope", "left_semi")
-        forms = forms.unionByName(poor.join(others, ["scope", "word"], "left_anti")).unionByName(others)
-    found = stage.write(settle(forms, stage).withColumnRenamed("word", "name").withColumnRenamed("scope", "_scope"), "names")
+    # names of full streets are leads for those without a kind or town; a name that is a full street's there isn't rewritten
+    entries = F.when(place & kind, F.array(entry(inside, True, True), entry(of_town, False, True), entry(of_kind, False, True)))
+    entries = entries.when(place & ~kind, F.array(entry(of_town, True, True))).when(~place & kind, F.array(entry(of_kind, True, False)))
+    full = F.bool_or(~F.col("words"))
+    forms = streets.select(F.col("name").alias("word"), "n", F.inline(entries)).groupBy("scope", "word")
+    forms = forms.agg(F.when(full, F.sum(F.when(~F.col("words"), F.col("n")))).otherwise(F.sum("n")).alias("n"), F.bool_or("words").alias("asks"), (~full).alias("words"), F.bool_or("leads").alias("leads"))
+    forms = forms.join(forms.where("asks").select("scope").distinct(), "scope", "left_semi").drop("asks")
+    found = settle(forms, stage).withColumnRenamed("word", "name").withColumnRenamed("scope", "_scope")
 
     def apply(rows: DataFrame, scope) -> DataFrame:
         return rows.withColumn("_scope", scope).join(found, ["_scope", "name"], "left").withColumn("name", F.coalesce("lead", "name")).drop("_scope", "lead")
@@ -564,9 +644,21 @@ def _spell(streets: DataFrame, stage) -> DataFrame:
     return stage.write(_fill_town(_fill_kind(spelled_)), "spelled")
 
 
-def _tidy(spark) -> None:
-    """Many small jobs leave broadcasts and shuffle files that Spark drops only once the driver's JVM has collected their handles."""
-    spark.sparkContext._jvm.System.gc()
+def _tidy(spark) -> bool:
+    """Many small jobs leave broadcasts and shuffle files that Spark drops only once the driver's JVM has collected their handles, and
+    freed native memory that the C library keeps for each of the JVM's many threads; that goes back to the system. False if this JVM
+    can't give it back (before 17.0.9, or not on Linux)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        # by reflection: the server's own class isn't open to py4j
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        arguments = gateway.new_array(jvm.Object, 4)
+        arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JError:
+        return False
+    return True
 
 
 def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: str, stage, repaired: DataFrame | None = None) -> DataFrame:
@@ -582,13 +674,14 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     parse = F.pandas_udf("number string, tokens string, town string, code string")(_parsed)
     # the number stands out of the words, so what is left of the many lines are few (town, words)
     parsed = stage.write(text.withColumn("p", parse("street", "city", "code")).select("key", "p.*").distinct(), "parsed")
+    spark = rows.sparkSession
+    _tidy(spark)
     towns = stage.write(parsed.groupBy("town", "code").agg(F.count(F.lit(1)).alias("n")), "towns")
     places = place_of_towns(towns, stage)
     lines = parsed.where("tokens <> ''").join(places, ["town", "code"]).groupBy("place", "tokens", "number").agg(F.count(F.lit(1)).alias("n"))
     lines = stage.write(lines, "lines")
     streets = stage.write(lines.groupBy("place", "tokens").agg(F.sum("n").alias("n")), "streets")
 
-    spark = rows.sparkSession
     _tidy(spark)
     seeds = spark.createDataFrame([(k,) for k in sorted(ALL_KINDS)], "kind string")
     kinds = stage.write(seeds.unionByName(mined_kinds(streets)).distinct(), "kinds")
@@ -604,6 +697,7 @@ def normal_addresses(rows: DataFrame, key: str, street: str, city: str, code: st
     same_number = float(numbers[0]) / float(numbers[1]) ** 2 if numbers[1] else 1.0
     short = stage.write(kind_rewrites(seen, kinds, same_number, stage), "short")
     for _ in range(MAX_ROUNDS):
+        _tidy(spark)
         read = stage.write(read_streets(streets, kinds, short, usual), "read")
         done = _spell(read, stage)
         _tidy(spark)
